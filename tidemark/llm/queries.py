@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, matroska, packing, secrets, url_filter
+from . import langid, matroska, packing, secrets, simhash, url_filter
 from .common import table
 
 URL_RULES = (
@@ -55,8 +55,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op6_language_id": op6_language_id, "op9_secret_scan": op9_secret_scan}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op6_language_id": op6_language_id, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
 
 
 def _op2_sql() -> str:
