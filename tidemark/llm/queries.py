@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, matroska, mixing, packing, secrets, simhash, url_filter
+from . import langid, matroska, mixing, packing, secrets, simhash, topk, url_filter
 from .common import table
 
 URL_RULES = (
@@ -32,6 +32,12 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(rows, rows.where("vec_id % 50 = 0"), 5, "vec_id", "embedding", 256.0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def held_out(modulus: int):
     """Rows kept from learning: those whose crc32 of the id as text leaves 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -65,7 +71,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
 
 
 def _op2_sql() -> str:
@@ -88,5 +94,14 @@ def _op2_sql() -> str:
     FROM v LEFT JOIN (SELECT * FROM fit WHERE n = 1) f USING (k)"""
 
 
+OP5_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT)) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql()}
+    return {"op2_url_filter": _op2_sql(), "op5_exact_topk": OP5_SQL}
