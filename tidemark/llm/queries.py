@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, matroska, mixing, packing, secrets, simhash, topk, url_filter
+from . import gru_lm, langid, matroska, mixing, packing, secrets, simhash, topk, url_filter
 from .common import table
 
 URL_RULES = (
@@ -54,6 +54,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gru_lm.fit(docs, held_out(7))
+    found = gru_lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, secrets.fit(docs))
@@ -71,7 +78,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_gru_lm": op8_gru_lm, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
 
 
 def _op2_sql() -> str:
