@@ -12,7 +12,8 @@ an equal share for each language, chosen by the hash of the id, whole texts.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; without any labelled row
 every text is ``und``; equal texts get equal predictions; very long texts count whole; null ids stay
-null; further columns are not read; an empty table gives an empty result. A single learned language
+null; further columns are not read; an empty table gives an empty result. ``keep_identified`` rejects texts without a letter and
+ambiguous ones (without a model only the former). A single learned language
 is predicted for every text with a letter, with score 1.
 """
 
@@ -200,3 +201,18 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(picked, make, "id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows whose language is found and not ambiguous, in all columns of ``docs``. One map, no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, _, unsure = predictions(batch.column(place).cast(pa.string()), model)
+            known = pc.fill_null(pc.match_substring_regex(batch.column(place).cast(pa.string()), r"\p{L}"), False) if model is None else pc.not_equal(found, "und")
+            return batch.filter(pc.and_not(known, unsure))
+
+        return each
+
+    return map_batches(docs, make, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gru_lm, langid, matroska, mixing, packing, secrets, simhash, topk, url_filter
+from . import gru_lm, langid, licenses, matroska, mixing, packing, secrets, simhash, topk, url_filter
 from .common import table
 
 URL_RULES = (
@@ -14,6 +14,12 @@ URL_RULES = (
 )
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    first = F.try_element_at("matches", F.lit(1))
+    return found.select(F.col("id").alias("doc_id"), "n_blocks", first["license"].alias("license"), first["differing"].alias("differing"), first["saved"].alias("saved"), F.array_join("matches.license", ",").alias("licenses"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), rules=URL_RULES)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.size("strict_hits").cast("long").alias("n_strict"), F.size("soft_hits").cast("long").alias("n_soft"), "soft_weight")
@@ -78,7 +84,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_gru_lm": op8_gru_lm, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
+    return {"op1_license_scan": op1_license_scan, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_gru_lm": op8_gru_lm, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
 
 
 def _op2_sql() -> str:

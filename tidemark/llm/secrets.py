@@ -43,8 +43,8 @@ Span = tuple[int, int, str]
 
 def pattern_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, leftmost and non-overlapping in each kind."""
-    spans: list[Span] = []
-    if any(k in low for k in _KEYWORDS) if (low := text.lower()) else False:
+    spans, low = [], text.lower()
+    if any(k in low for k in _KEYWORDS):
         spans += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
@@ -155,3 +155,23 @@ def scan_secrets(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", tex
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(picked, make, "id long, spans array<struct<start: long, end: long, kind: string>>, redacted string")
+
+
+def redact_documents(docs: DataFrame, model: MarkovPair, text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
+    """All rows and columns of ``docs``, with the secrets of each text redacted and ``chars_col``, if there, brought up to date where they were."""
+    names = docs.columns
+    place, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, columns = batch.column(place).to_pylist(), list(batch.columns)
+            clean = [redact(t, find_secrets(t, model, threshold, min_length)) for t in texts]
+            columns[place] = pa.array(clean, batch.schema.field(place).type)
+            if chars is not None:
+                before = columns[chars].to_pylist()
+                columns[chars] = pa.array([n if c == t else len(c) for n, c, t in zip(before, clean, texts, strict=True)], batch.schema.field(chars).type)
+            return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        return each
+
+    return map_batches(docs, make, docs.schema)

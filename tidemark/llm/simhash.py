@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, utf8
+from .common import cut_lineage, map_batches, utf8, written
 
 SHINGLE, RADIUS, SEED, BLOCK, QUARTERS = 3, 3, 42, 1024, 4
 
@@ -163,10 +163,9 @@ def stars(links: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id, fp and component_id, the smallest id reachable over links, of every row."""
-    spark = docs.sparkSession
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
+def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp and component_id, the smallest id reachable over links, of each fingerprint in the written rows (id, fp)."""
+    spark = rows.sparkSession
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     counts = F.array(*quarter_counts(F.col("fp")))
     tiled = nodes.select("fp", counts.alias("counts")).withColumn("tile", tile_code([F.col("counts")[q] for q in range(QUARTERS)]))
@@ -177,8 +176,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stars(tile_links(blocks, sizes, radius)).withColumnRenamed("u", "fp")
     rooted = nodes.join(links, "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = cut_lineage(rooted.join(first, "root").select("fp", "component_id"))
-    return rows.join(found, "fp", "left").select("id", "fp", "component_id")
+    return cut_lineage(rooted.join(first, "root").select("fp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """id, fp and component_id, the smallest id reachable over links, of every row."""
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
+    return rows.join(components(rows, radius), "fp", "left").select("id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each component, in the columns of ``docs``: that of the smallest id, of rows with equal ids the first in scan order.
+
+    A null id stands after all others, so that a group of rows without ids keeps one.
+    """
+    names = docs.columns
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found.view(np.int64))], ["row", "id", "doc", "fp"])
+
+        return each
+
+    whole = written(map_batches(packed, make, f"row long, id long, doc {packed.schema['doc'].dataType.simpleString()}, fp long"))
+    rows = whole.select(F.col("row").alias("id"), "fp")
+    grouped = whole.select("row", "id", "fp").join(components(rows, radius), "fp")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    kept = whole.join(first.select("row"), "row", "left_semi")
+    return kept.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def fingerprint_hex(fp: Column) -> Column:
