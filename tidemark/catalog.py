@@ -1,9 +1,225 @@
-"""The registered queries of the time-series engine and their SQL."""
+"""The registered queries of the time-series engine and their SQL.
 
+They run over whole tables: every series of the events (or line items), by the operators' set-oriented
+form. Keys ending in ``_one_series`` are the single requests, whose feature is to choose one series.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import operators, plans
+from .functions import passes
+from .sources import Series, adapters
+from .types import Aggregator, ColumnType, CompareExpression, CompareOp
+
+AVG, MAX, EQ, GT = Aggregator.AVG, Aggregator.MAX, CompareOp.EQUAL, CompareOp.GREATER
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: January 2024 from a begin that is no round number, in 30 buckets of a day; and ranges in it.
+LO, DAY = 1704067200183, 86_400_000
+HI, HOUR = LO + 30 * DAY, 3_600_000
+#: Years of the line items' dates.
+LINES_LO, LINES_HI = 631152000000, 631152000000 + 100 * 365 * DAY
+VIN = "00000000000000007"
+
+EVENTS = "(SELECT lpad(CAST(user_id AS VARCHAR), 17, '0') AS vin, epoch_us(ts) // 1000 AS ts, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type, event_id FROM events)"
+LINES = "(SELECT lpad(CAST(l_suppkey AS VARCHAR), 17, '0') AS vin, epoch_us(l_shipdate) // 1000 AS ts, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_orderkey, l_partkey FROM lineitem)"
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    """Averages to nine digits: engines add in different orders."""
+    for n in names:
+        df = df.withColumn(n, F.round(n, digits))
+    return df
+
+
+def _value(column: str, aggregator: Aggregator, test: CompareExpression | None) -> str:
+    keep = f" FILTER (WHERE {column} {'=' if test.op is EQ else '>'} {test.value})" if test else ""
+    if aggregator is AVG:
+        return f"COALESCE(ROUND(AVG({column}){keep}, 9), CAST('-Infinity' AS DOUBLE)) AS {column}"
+    none = "CAST(-2147483648 AS INTEGER)" if column in ("k", "l_linenumber") else "CAST('-Infinity' AS DOUBLE)"
+    return f"COALESCE(MAX({column}){keep}, {none}) AS {column}"
+
+
+def _aggregate(column: str, aggregator: Aggregator, lo: int = LO, hi: int = HI, vins=None, test=None, of=adapters.events, table: str = EVENTS) -> tuple[Query, str]:
+    where = f" AND vin IN ({', '.join(map(repr, vins))})" if vins else ""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = operators.aggregate(of(spark, sf_dir), column, aggregator, lo, hi, vins, test)
+        return _rounded(out, column) if aggregator is AVG else out
+
+    return run, f"SELECT vin, CAST({lo} AS BIGINT) AS ts, {_value(column, aggregator, test)} FROM {table} WHERE ts >= {lo} AND ts < {hi}{where} GROUP BY vin"
+
+
+def _downsample(column: str, aggregator: Aggregator, test=None, lo: int = LO, hi: int = HI, interval: int = DAY, vins=None, of=adapters.events, table: str = EVENTS) -> tuple[Query, str]:
+    where = f" AND vin IN ({', '.join(map(repr, vins))})" if vins else ""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = operators.downsample(of(spark, sf_dir), column, aggregator, lo, hi, interval, test, vins)
+        return _rounded(out, column) if aggregator is AVG else out
+
+    sql = f"SELECT vin, CAST({lo} + ((ts - {lo}) // {interval}) * {interval} AS BIGINT) AS ts, {_value(column, aggregator, test)} FROM {table} WHERE ts >= {lo} AND ts < {hi}{where} GROUP BY vin, 2"
+    return run, sql
+
+
+def _range(lo: int, hi: int, columns=(), vins=None) -> tuple[Query, str]:
+    where = f" AND vin IN ({', '.join(map(repr, vins))})" if vins else ""
+    names = ", ".join(sorted(columns) or ("event_type", "k", "value"))
+    return (lambda spark, sf_dir: operators.time_range(adapters.events(spark, sf_dir), lo, hi, vins, columns)), f"SELECT vin, ts, {names} FROM {EVENTS} WHERE ts >= {lo} AND ts < {hi}{where}"
+
+
+def _latest(columns=(), vins=None) -> tuple[Query, str]:
+    where = f"WHERE vin IN ({', '.join(map(repr, vins))})" if vins else ""
+    names = ", ".join(sorted(columns) or ("event_type", "k", "value"))
+    return (
+        lambda spark, sf_dir: operators.latest(adapters.events(spark, sf_dir), vins, columns),
+        f"SELECT vin, ts, {names} FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY ts DESC, event_id) AS nth FROM {EVENTS} {where}) WHERE nth = 1",
+    )
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each series a request from its third row to its last: the one at lo is kept, the one at hi dropped."""
+    series = adapters.events(spark, sf_dir)
+    times = series.frame(series.df, []).groupBy("vin").agg(F.sort_array(F.collect_set("ts")).alias("t")).where(F.size("t") > 3)
+    asked = times.select(F.col("vin").alias("request_id"), "vin", F.element_at("t", 3).alias("lo"), F.element_at("t", -1).alias("hi"))
+    return operators.range_batch(series, asked, ["value"]).select("vin", "ts", "value")
+
+
+BOUNDS_SQL = f"""
+    WITH t AS (SELECT vin, list_sort(list(DISTINCT ts)) AS t FROM {EVENTS} GROUP BY vin)
+    SELECT e.vin, e.ts, e.value FROM {EVENTS} e JOIN t USING (vin) WHERE len(t) > 3 AND e.ts >= t[3] AND e.ts < t[-1]"""
+
+
+def _requests(spark: SparkSession, sf_dir: str, interval: bool) -> tuple[Series, DataFrame]:
+    """Two requests for each user: the first ten days and the ten around the middle."""
+    series = adapters.events(spark, sf_dir)
+    users = series.frame(series.df, []).select("vin").distinct()
+    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).cast("long").alias("lo"), F.lit(a + 10 * DAY).cast("long").alias("hi")) for n, a in enumerate((LO, LO + 12 * DAY))]))
+    asked = users.select("vin", spans.alias("s")).select(F.concat_ws("-", "vin", "s.n").alias("request_id"), "vin", "s.lo", "s.hi")
+    return series, asked.withColumn("interval", F.lit(12 * HOUR).cast("long")) if interval else asked
+
+
+REQUESTS_SQL = f"(SELECT concat(vin, '-', n) AS request_id, vin AS asked, lo, lo + 10 * CAST({DAY} AS BIGINT) AS hi FROM (SELECT DISTINCT vin FROM {EVENTS}), (VALUES (0, {LO}), (1, {LO + 12 * DAY})) s(n, lo))"
+
+
+def _batch(kind: str) -> tuple[Query, str]:
+    met = f"FROM {EVENTS} JOIN {REQUESTS_SQL} ON vin = asked AND ts >= lo AND ts < hi"
+    if kind == "range":
+        return lambda spark, sf_dir: operators.range_batch(*_requests(spark, sf_dir, False), ["value", "k"]), f"SELECT request_id, vin, ts, k, value {met}"
+    if kind == "aggregate":
+        return lambda spark, sf_dir: _rounded(operators.aggregate_batch(*_requests(spark, sf_dir, False), "value", AVG), "value"), f"SELECT request_id, vin, lo AS ts, ROUND(AVG(value), 9) AS value {met} GROUP BY request_id, vin, lo"
+    test = CompareExpression(50, GT)
+    return (
+        lambda spark, sf_dir: operators.downsample_batch(*_requests(spark, sf_dir, True), "k", MAX, test),
+        f"SELECT request_id, vin, CAST(lo + ((ts - lo) // {12 * HOUR}) * {12 * HOUR} AS BIGINT) AS ts, {_value('k', MAX, test)} {met} GROUP BY request_id, vin, 3",
+    )
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(plans.build_rollup(adapters.events(spark, sf_dir), "value", DAY), "total", digits=6)
+
+
+def _with_rollup(down: bool) -> tuple[Query, str]:
+    block, lo = 6 * HOUR, LO - 183
+    hi = lo + 30 * DAY
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        series = adapters.events(spark, sf_dir)
+        rollup = plans.build_rollup(series, "value", block)
+        if down:
+            return plans.downsample_with_rollup(series, rollup, "value", block, MAX, lo, hi, DAY)
+        return _rounded(plans.aggregate_with_rollup(series, rollup, "value", block, AVG, LO, HI), "value")
+
+    return run, (_downsample("value", MAX, lo=lo, hi=hi) if down else _aggregate("value", AVG))[1]
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of the first half of the month, merged with those of all later rows."""
+    series = adapters.events(spark, sf_dir)
+    half = LO + 15 * DAY
+    part = lambda a, b: Series(series.within(series.df, a, b), series.schema, series.key, series.time, series.stored, series.values, series.vin, series.raw_key, series.tie)
+    first = operators.latest(part(0, half))
+    return plans.merge_latest(first, part(half, 4102444800000))
+
+
+def _predicate(op: CompareOp, value: float) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        series = adapters.events(spark, sf_dir)
+        rows = series.frame(series.df, ["value"])
+        return rows.where(passes(F.col("value"), ColumnType.DOUBLE_FLOAT, CompareExpression(value, op)))
+
+    return run, f"SELECT vin, ts, value FROM {EVENTS} WHERE value {'=' if op is EQ else '>'} {value}"
+
+
+def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.latest(adapters.lineitems(spark, sf_dir), None, ["l_quantity", "l_linenumber", "l_returnflag"])
+
+
+TIES_SQL = f"SELECT vin, ts, l_linenumber, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY ts DESC, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS nth FROM {LINES}) WHERE nth = 1"
+
+
+def _schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema as the engine keeps it: columns by name, with type names."""
+    return spark.createDataFrame([(n, t.name) for n, t in adapters.events(spark, sf_dir).schema.columns.items()], "name string, type string")
+
+
+def _entries() -> dict[str, tuple[Query, str]]:
+    e = lambda v, op: CompareExpression(v, op)
+    one = [VIN]
+    named = {f"q4_{a.name.lower()}_{kind}_{op}": _downsample(column, a, e(value, EQ if op == "eq" else GT)) for a in (AVG, MAX) for kind, column in (("int", "k"), ("double", "value")) for op, value in (("eq", 20 if kind == "int" else 26.17), ("gt", 50 if kind == "int" else 20.5))}
+    return {
+        "q1_latest_all": _latest(),
+        "q1_latest_projected": _latest(["value"]),
+        "q1_latest_missing_vin": _latest(["value"], [VIN, "no such vin", "00000000000000011"]),
+        "q1_latest_duplicate_vins": _latest((), [VIN, VIN, "00000000000000011"]),
+        "q1_latest_ties": (_ties, TIES_SQL),
+        "q2_range_projected": _range(LO, HI, ["value"]),
+        "q2_range_all": _range(LO + 3 * DAY, LO + 20 * DAY),
+        "q2_range_bounds": (_bounds, BOUNDS_SQL),
+        "q2_range_empty": _range(0, 1000),
+        "q2_range_one_series": _range(LO, HI, ["k"], one),
+        "q3_avg_double": _aggregate("value", AVG),
+        "q3_avg_int": _aggregate("k", AVG),
+        "q3_max_double": _aggregate("value", MAX),
+        "q3_max_int": _aggregate("k", MAX),
+        "q3_empty_range": _aggregate("value", MAX, 0, 1000),
+        "q3_unknown_vin": _aggregate("value", AVG, vins=["no such vin"]),
+        "q3_one_series": _aggregate("value", AVG, vins=one),
+        "q3_max_int_lines": _aggregate("l_linenumber", MAX, LINES_LO, LINES_HI, of=adapters.lineitems, table=LINES),
+        **named,
+        "q4_sentinel_bucket": _downsample("value", AVG, e(1e9, GT)),
+        "q4_gap_bucket_absent": _downsample("value", AVG, interval=HOUR),
+        "q4_empty_range": _downsample("value", AVG, lo=0, hi=DAY),
+        "q4_unanchored_lo": _downsample("value", MAX, lo=LO + 777_777, hi=LO + 777_777 + 20 * DAY, interval=5 * HOUR),
+        "q4_one_series": _downsample("value", AVG, e(20.5, GT), vins=one, interval=6 * HOUR),
+        "q4_lines_yearly": _downsample("l_quantity", AVG, e(25.0, GT), LINES_LO, LINES_HI, 365 * DAY, of=adapters.lineitems, table=LINES),
+        "x1_range_batch": _batch("range"),
+        "x1_aggregate_batch": _batch("aggregate"),
+        "x1_downsample_batch": _batch("downsample"),
+        "l3_create_table": (_schema_table, "SELECT * FROM (VALUES ('event_type', 'STRING'), ('k', 'INTEGER'), ('value', 'DOUBLE_FLOAT')) t(name, type)"),
+        "l7_rollup": (_rollup, f"SELECT vin, ts - ts % {DAY} AS block_start, count(*) AS n, ROUND(sum(value), 6) AS total, max(value) AS most FROM {EVENTS} GROUP BY vin, 2"),
+        "l10_latest_snapshot": (_snapshot, _latest()[1]),
+        "s1_series_lookup": _range(0, 4102444800000, (), one),
+        "s2_time_filter": _range(LO + 5 * DAY, LO + 6 * DAY),
+        "s5_projection": _range(0, 4102444800000, ["k", "event_type"]),
+        "p1_equal": _predicate(EQ, 26.17),
+        "p2_greater": _predicate(GT, 100.0),
+        "a1_avg": _aggregate("k", AVG, of=adapters.events),
+        "a2_max": _aggregate("value", MAX, LO + DAY, LO + 9 * DAY),
+        "a3_filtered_avg": _aggregate("value", AVG, test=e(20.5, GT)),
+        "a3_filtered_max_none": _aggregate("k", MAX, test=e(1000, GT)),
+        "a4_rollup_aggregate": _with_rollup(False),
+        "a4_rollup_downsample": _with_rollup(True),
+    }
+
+
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in _entries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _entries().items()}
