@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators, plans
+from .engine import Engine
 from .functions import passes
 from .sources import Series, adapters
+from .sources.scratch import scratch
 from .types import Aggregator, ColumnType, CompareExpression, CompareOp
 
 AVG, MAX, EQ, GT = Aggregator.AVG, Aggregator.MAX, CompareOp.EQUAL, CompareOp.GREATER
@@ -162,6 +164,47 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIES_SQL = f"SELECT vin, ts, l_linenumber, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY ts DESC, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS nth FROM {LINES}) WHERE nth = 1"
 
 
+def _stored(spark: SparkSession, sf_dir: str, writes: int = 1, dedup: str | None = None) -> tuple[Engine, Series]:
+    """The events written to a new database in so many appends, which is then opened again."""
+    series = adapters.events(spark, sf_dir)
+    path = scratch(spark)
+    first = Engine(spark, path, buckets=16).connect()
+    first.create_table("events", series.schema)
+    rows = series.frame(series.df, list(series.schema.columns))
+    for n in range(writes):
+        first.write_frame("events", rows if writes == 1 or dedup else rows.where(F.pmod(F.xxhash64("vin", "ts"), F.lit(writes)) == n))
+    first.shutdown()
+    again = Engine(spark, path, buckets=16, dedup=dedup).connect()
+    return again, again.series("events")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write, reopen, read all."""
+    series = _stored(spark, sf_dir)[1]
+    return operators.time_range(series, 0, 4102444800000)
+
+
+def _two_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.time_range(_stored(spark, sf_dir, 2)[1], LO, HI, None, ["value"])
+
+
+def _overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row written twice; the last write of each (vin, ts) counts."""
+    return operators.time_range(_stored(spark, sf_dir, 2, "last")[1], LO, HI, None, ["k"])
+
+
+def _stored_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(operators.downsample(_stored(spark, sf_dir)[1], "value", AVG, LO, HI, DAY, CompareExpression(20.5, GT)), "value")
+
+
+def _reopened_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _stored(spark, sf_dir)
+    return spark.createDataFrame([(n, t.name) for n, t in engine.schemas["events"].columns.items()], "name string, type string")
+
+
+SCHEMA_SQL = "SELECT * FROM (VALUES ('event_type', 'STRING'), ('k', 'INTEGER'), ('value', 'DOUBLE_FLOAT')) t(name, type)"
+
+
 def _schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema as the engine keeps it: columns by name, with type names."""
     return spark.createDataFrame([(n, t.name) for n, t in adapters.events(spark, sf_dir).schema.columns.items()], "name string, type string")
@@ -181,6 +224,10 @@ def _entries() -> dict[str, tuple[Query, str]]:
         "q2_range_all": _range(LO + 3 * DAY, LO + 20 * DAY),
         "q2_range_bounds": (_bounds, BOUNDS_SQL),
         "q2_range_empty": _range(0, 1000),
+        "q2_range_lines": (
+            lambda spark, sf_dir: operators.time_range(adapters.lineitems(spark, sf_dir), LINES_LO, LINES_HI, None, ["l_linenumber", "l_quantity"]),
+            f"SELECT vin, ts, l_linenumber, l_quantity FROM {LINES} WHERE ts >= {LINES_LO} AND ts < {LINES_HI}",
+        ),
         "q2_range_one_series": _range(LO, HI, ["k"], one),
         "q3_avg_double": _aggregate("value", AVG),
         "q3_avg_int": _aggregate("k", AVG),
@@ -200,7 +247,14 @@ def _entries() -> dict[str, tuple[Query, str]]:
         "x1_range_batch": _batch("range"),
         "x1_aggregate_batch": _batch("aggregate"),
         "x1_downsample_batch": _batch("downsample"),
-        "l3_create_table": (_schema_table, "SELECT * FROM (VALUES ('event_type', 'STRING'), ('k', 'INTEGER'), ('value', 'DOUBLE_FLOAT')) t(name, type)"),
+        "l2_connect_latest": (lambda spark, sf_dir: operators.latest(_stored(spark, sf_dir)[1]), _latest()[1]),
+        "l3_create_table": (_schema_table, SCHEMA_SQL),
+        "l5_write": (_written, _range(0, 4102444800000)[1]),
+        "l9_schema_reload": (_reopened_schema, SCHEMA_SQL),
+        "s3_stored_range": (lambda spark, sf_dir: operators.time_range(_stored(spark, sf_dir)[1], LO + 5 * DAY, LO + 6 * DAY), _range(LO + 5 * DAY, LO + 6 * DAY)[1]),
+        "s6_two_appends": (_two_appends, _range(LO, HI, ["value"])[1]),
+        "d4_last_write": (_overwritten, _range(LO, HI, ["k"])[1]),
+        "c5_timestamps_lossless": (_stored_downsample, _downsample("value", AVG, CompareExpression(20.5, GT))[1]),
         "l7_rollup": (_rollup, f"SELECT vin, ts - ts % {DAY} AS block_start, count(*) AS n, ROUND(sum(value), 6) AS total, max(value) AS most FROM {EVENTS} GROUP BY vin, 2"),
         "l10_latest_snapshot": (_snapshot, _latest()[1]),
         "s1_series_lookup": _range(0, 4102444800000, (), one),
