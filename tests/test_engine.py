@@ -128,6 +128,12 @@ def test_two_series_with_overwrite_and_restart(spark, tmp_path):
     assert keep_all.execute_time_range_query(TimeRangeQueryRequest("t1", "vin1", 1, 2)).count() == 2
 
 
+def test_one_series_reads_one_bucket(engine):
+    got = engine.execute_time_range_query(TimeRangeQueryRequest("t", "LSVNV2182E0200001", T0, T0 + 5000, ["temp"]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "pmod" not in plan and "Exchange" not in plan and got.count() == 5
+
+
 def test_writes_are_checked(spark, tmp_path):
     engine = table(spark, tmp_path, [1])
     good = {"AZKP": 1, "temp": 1.0, "note": ""}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ class Series:
         raw = [k for k in (self.raw_key(v) for v in dict.fromkeys(vins)) if k is not None]
         df = self.df
         if len(raw) <= 1000:
-            if self.bucket is not None and raw:
-                df = df.where(F.col("bucket").isin([r[0] for r in df.sparkSession.createDataFrame([(k,) for k in raw], ["k"]).select(self.bucket(F.col("k"))).distinct().collect()]))
+            if self.bucket is not None and 0 < len(raw) <= 16:  # folded to literals, so that other buckets' folders aren't listed
+                df = df.where(reduce(or_, (F.col("bucket") == self.bucket(F.lit(k)) for k in raw)))
             return df.where(F.col(self.key).isin(raw))
         asked = df.sparkSession.createDataFrame([(k,) for k in raw], ["asked"])
         return df.join(asked, F.col(self.key) == F.col("asked"), "left_semi")
