@@ -181,3 +181,19 @@ def test_closed_form_series(spark, tmp_path):
         assert engine.execute_aggregate_query(TimeRangeAggregationRequest("wide", "3", "d", lo, hi, AVG)).first().d == (2 * start + n_rows - 1) / 2
     got = engine.execute_downsample_query(TimeRangeDownsampleRequest("wide", "5", "i", 0, 60_000, MAX, 10_000, CompareExpression(4, GT)))
     assert sorted((x.ts, x.i) for x in got.collect()) == [(j * 10_000, j * 10 + 9) for j in range(6)]
+
+
+def test_requests_from_several_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    engine = table(spark, tmp_path, [1])
+
+    def work(n):
+        vin = f"v{n}"
+        engine.write(WriteRequest("t", [Row(vin, i, {"AZKP": n * 10 + i, "temp": 0.5, "note": vin}) for i in range(10)]))
+        got = engine.execute_aggregate_query(TimeRangeAggregationRequest("t", vin, "AZKP", 0, 10, MAX)).first().AZKP  # readable at once
+        return got == n * 10 + 9 and engine.execute_latest_query(LatestQueryRequest("t", [vin])).first().ts == 9
+
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(work, range(6)))
+    assert engine.series("t").df.count() == 61

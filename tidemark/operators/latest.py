@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import millis
 from ..sources.adapters import Series
 
 
@@ -16,9 +17,9 @@ def latest(series: Series, vins: Sequence[str] | None = None, columns: Sequence[
     Unknown series are left out, and one asked for twice comes once. Of rows with the same newest time
     the first by the series' tie order wins. The row number is limited before the shuffle: a task sends one
     row of each series that it has met, so a series that holds a third of all rows costs no more than others.
+    Values are made of the raw columns of the winners alone.
     """
     names = series.schema.chosen(columns)
-    ties = [F.col(t).alias(f"tie_{i}") for i, t in enumerate(series.tie)]
-    rows = series.frame(series.only(vins), names, ties)
-    order = Window.partitionBy("vin").orderBy(F.desc("ts"), *[f"tie_{i}" for i in range(len(ties))])
-    return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("vin", "ts", *names)
+    order = Window.partitionBy(series.key).orderBy(millis(F.col(series.time), series.stored).desc(), *series.tie)
+    newest = series.only(vins).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return series.frame(newest, names)
