@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,7 +84,7 @@ class Store:
 
     def series(self, name: str, schema: Schema) -> Series:
         """A table as it stands; each call lists the files anew."""
-        struct = T.StructType([*schema.struct().fields, WRITTEN, T.StructField("bucket", T.IntegerType())])
+        struct = T.StructType([*schema.struct().fields, WRITTEN, T.StructField("append", T.StringType()), T.StructField("bucket", T.IntegerType())])
         path = self._path(name)
         df = self.spark.read.schema(struct).parquet(self.folder(name)) if self._fs(path).exists(path) else self.spark.createDataFrame([], struct)
         return Series(df, schema, bucket=bucket_of(self.buckets))
@@ -120,6 +121,13 @@ class Store:
         return df.select(*[whole(f) for f in schema.struct().fields], F.lit(time.time_ns()).cast("long").alias("written"))
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Append by bucket. A crowded bucket, even of one series, is split among tasks by the rebalance; files are in key and time order."""
+        """Append by bucket, in a folder of its own that appears at once when all is written, so that appends may run side by side.
+
+        A crowded bucket, even of one series, is split among tasks by the rebalance; files are in key and time order.
+        """
+        mark = uuid.uuid4().hex
+        hidden, shown = self._path(f"{name}/_new-{mark}"), self._path(f"{name}/append={mark}")
         dealt = df.withColumn("bucket", bucket_of(self.buckets)(F.col("vin"))).hint("rebalance", "bucket")
-        dealt.sortWithinPartitions("bucket", "vin", "ts").write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(self.folder(name))
+        dealt.sortWithinPartitions("bucket", "vin", "ts").write.partitionBy("bucket").option("compression", "zstd").parquet(hidden.toString())
+        if not self._fs(shown).rename(hidden, shown):
+            raise OSError(f"{shown} can't be made")
