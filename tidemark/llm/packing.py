@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import ChainMap
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-WINDOW, PART, GROUP, END_ID, VOCABULARY, KEPT_WORDS = 4096, 512, 4096, 2, "word_bpe_49k.json", 700_000
+WINDOW, PART, GROUP, END_ID, VOCABULARY, KEPT_WORDS = 4096, 512, 2048, 2, "word_bpe_49k.json", 700_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -85,29 +84,34 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of these words that aren't known; they become known while there is room."""
-        known, parts, plain = self.known, {}, set()
+        known, parts, plain, new = self.known, {}, set(), {}
         for word in words:
-            m = _PLAIN.fullmatch(word.decode())
-            parts[word] = two = (m[1].lower().encode(), m[2].encode()) if m else None
-            if two:
+            if word.isalpha() and word.islower():  # plain ASCII letters
+                plain.add(word)
+            elif m := _PLAIN.fullmatch(word.decode()):
+                parts[word] = two = m[1].lower().encode(), m[2].encode()
                 plain.update(x for x in two if x and x not in known)
-        new = self._together(sorted(plain))
-        for word, two in parts.items():
-            if not two:
+            else:
                 new[word] = self._each(word.decode())
-            elif word not in new:
-                new[word] = b"".join(new[x] if x in new else known[x] for x in two if x)
+        made = self._together(list(plain))
+        for word, two in parts.items():
+            new[word] = b"".join(made[x] if x in made else known[x] for x in two if x)
+        for word in words - new.keys():
+            new[word] = made[word]
         if len(known) < self.keep:
             known.update(new)
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; words part at ASCII white space."""
+        """Ids of each text; words part at ASCII white space. A known word is looked up once."""
         split = [utf8(t).split() for t in texts]
-        missing = {w for words in split for w in words if w not in self.known}
-        new = self.learn(missing) if missing else {}
-        ids = self.known if missing <= self.known.keys() else ChainMap(self.known, new)
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        if gaps:
+            new = self.learn({w for i in gaps for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+            for i in gaps:
+                found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(2)
