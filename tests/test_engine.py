@@ -197,3 +197,12 @@ def test_requests_from_several_threads(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         assert all(pool.map(work, range(6)))
     assert engine.series("t").df.count() == 61
+
+
+def test_times_are_stored_as_differences(engine):
+    import pyarrow.parquet as pq
+
+    (file,) = [f.removeprefix("file://") for f in engine.series("t").df.inputFiles()]
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in columns["ts"].encodings and columns["ts"].compression == "ZSTD" and columns["ts"].statistics.min == T0
