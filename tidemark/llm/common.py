@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Rows that a map handles at once.
+SLICE = 512
 #: Words are maximal runs of anything but these bytes; ``bytes.split()`` splits on just them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,13 +46,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Each Arrow batch of ``df`` through ``make()``, which is called once a task."""
+    """Each Arrow batch of ``df``, in slices of ``SLICE`` rows, through ``make()``, which is called once a task.
+
+    Slices bound what a task holds as Python objects, whatever the session's batch size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield each(batch.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 

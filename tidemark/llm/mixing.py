@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, utf8, written
+from .common import SLICE, WORD, cut_lineage, utf8, written
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 256, 65536, 7
 
@@ -271,16 +271,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = whole.schema["doc"].dataType
 
     def cut(batches):
-        for batch in batches:
-            texts, at, made, lengths = pc.struct_field(batch.column(0), [place]).to_pylist(), [], [], []
-            for i, (text, some) in enumerate(zip(texts, batch.column(1).to_pylist(), strict=True)):
-                for _, a, b in runs([(t["epoch"], t["from"], t["words"]) for t in some]):
-                    at.append(i)
-                    made.append(word_slice(text, a, b))
-                    lengths.append(len(made[-1]))
-            for i in range(0, len(at), 2000):
-                docs_of = batch.column(0).take(pa.array(at[i : i + 2000], pa.int64()))
-                yield pa.RecordBatch.from_arrays([docs_of, pa.array(made[i : i + 2000], pa.string()), pa.array(lengths[i : i + 2000], pa.int64())], ["doc", "text", "chars"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch, at, made, lengths = whole.slice(lo, SLICE), [], [], []
+                texts = pc.struct_field(batch.column(0), [place]).to_pylist()
+                for i, (text, some) in enumerate(zip(texts, batch.column(1).to_pylist(), strict=True)):
+                    for _, a, b in runs([(t["epoch"], t["from"], t["words"]) for t in some]):
+                        at.append(i)
+                        made.append(word_slice(text, a, b))
+                        lengths.append(len(made[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(made, pa.string()), pa.array(lengths, pa.int64())], ["doc", "text", "chars"])
 
     out = picked.mapInArrow(cut, f"doc {kind.simpleString()}, text string, chars long")
     value = lambda i, c: F.col("text") if c == text_col else F.col("chars").cast(docs.schema[c].dataType) if c == chars_col else F.col(f"doc.c{i}")
