@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, WORD, cut_lineage, utf8, written
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 256, 65536, 7
+WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 256, 1 << 18, 7
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -128,8 +128,8 @@ def epoch_key(seed: int, index: int, epoch: int) -> int:
     return ((seed * 1_000_003 + index) * 1_000_003 + epoch) & (1 << 60) - 1
 
 
-def shard_plan(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots) by multinomial draws from what each source has left."""
+def shard_plan(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
+    """Rows (shard, source, first slot, slots) by multinomial draws from what each source has left."""
     left, done, out, rng, shard = np.array(slots, np.int64), np.zeros(len(slots), np.int64), [], np.random.default_rng(seed), 0
     while (total := int(left.sum())) > 0:
         if total <= shard_slots:
@@ -138,12 +138,13 @@ def shard_plan(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEE
             drawn = rng.multinomial(shard_slots, left / total)
             over = int(np.maximum(drawn - left, 0).sum())
             drawn = np.minimum(drawn, left)
-            for i in np.argsort(drawn - left, kind="stable"):  # what a used-up source can't give, those with most left do
+            for i in np.argsort(drawn - left, kind="stable") if over else ():  # what a used-up source can't give, those with most left do
                 more = min(over, int(left[i] - drawn[i]))
                 drawn[i], over = drawn[i] + more, over - more
-        out += [(shard, i, int(done[i]), int(d)) for i, d in enumerate(drawn) if d]
+        some = np.flatnonzero(drawn)
+        out.append(np.stack([np.full(len(some), shard), some, done[some], drawn[some]], 1))
         left, done, shard = left - drawn, done + drawn, shard + 1
-    return out
+    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
 
 
 def numbered(rows: DataFrame, schema: str) -> DataFrame:
@@ -197,7 +198,8 @@ def plan_mix(rows: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     spans = placed.select("k", "part", "row", "size", at.alias("at"), F.explode(F.sequence(F.expr(f"(before + local) div {block}"), F.expr(f"(before + local + size - 1) div {block}"))).alias("block"))
     low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     pieces = spans.select("k", "block", "part", "row", (low - F.col("at")).alias("from"), (low - F.col("block") * block).alias("inside"), (high - low).alias("n"))
-    plan = spark.createDataFrame(shard_plan([s.slots for s in sources], shard_slots, seed) or [(0, 0, 0, 0)], "shard int, k int, first long, n long").where("n > 0")
+    drawn = shard_plan([s.slots for s in sources], shard_slots, seed)
+    plan = spark.createDataFrame(pa.table({c: drawn[:, i] for i, c in enumerate(("shard", "k", "first", "n"))}), "shard long, k long, first long, n long").select(F.col("shard").cast("int"), F.col("k").cast("int"), "first", "n")
     slots = plan.select("shard", "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     blocks, last = [s.blocks for s in sources], [(s.slots - 1, s.last_words) for s in sources]
 

@@ -7,8 +7,8 @@ angle) or by a coordinate (the query's largest: candidates outside the interval
 leaves), whichever leaves fewer, and only what is left is multiplied and verified. Bounds are widened by
 a small margin, so that rounding never loses a candidate; scores are exact integers.
 
-Queries go out in chunks of about ``chunk`` vectors, each chunk broadcast (its size is bounded) and met with all
-candidates in one pass; a task keeps k results for each query of the chunk. Of equal vectors in a bucket only
+Queries go out in chunks of about ``chunk`` vectors, one after the other: a chunk is broadcast (its size is bounded),
+met with all candidates in one pass, and its result written; a task keeps k results for each query of the chunk. Of equal vectors in a bucket only
 those with the k + 1 smallest ids can matter, so that one common vector costs nothing.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows with a
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 CHUNK, BUCKET, SHORTEST = 8192, 4096, 0.9
 _LIMIT = float(1 << 28)
 
@@ -193,8 +195,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col:
                     search(best, qids, asked_vecs, q_len, ids[rows], vecs[rows])
             yield pa.RecordBatch.from_arrays([pa.array(qids[best.row] if len(qids) else best.row), pa.array(best.id), pa.array(best.score)], ["query_id", "id", "score"])
 
-        here = rows.mapInArrow(run, "query_id long, id long, score long")
+        merged = rows.mapInArrow(run, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        here = cut_lineage(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score"))
+        shared.destroy()  # one chunk at a time is on the driver and the executors
         found = here if found is None else found.union(here)
-    merged = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
+    return found
