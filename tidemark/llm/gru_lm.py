@@ -254,6 +254,27 @@ def token_counts(texts: DataFrame, keep: int = 300_000) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The counts of the most frequent words, ``most`` at most: those from the least count on that leaves no more.
+
+    The count is read off a histogram of fixed size (each count under 1024, then 64 bins for each doubling), so
+    that no task sends more than belongs to the result.
+    """
+    n = F.col("n")
+    step = F.when(n < 1024, n).otherwise(F.floor(F.log2(n) * 64) + 1024 - 640).cast("long")
+    cut, seen = 1, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("m"), F.min("n").alias("from")).collect(), key=lambda r: -r["step"]):
+        seen += r["m"]
+        if seen > most:
+            break
+        cut = r["from"]
+    else:
+        cut = 0
+    if not seen or (seen > most and cut == 1):
+        return {}
+    return {bytes(r["word"]): int(r["n"]) for r in counts.where(n >= cut).collect()}
+
+
 def averaged(spark, parts: DataFrame, start: np.ndarray) -> np.ndarray:
     """The mean of the tasks' networks (piece, weight, values) by weight; the start where none learned."""
 
@@ -294,8 +315,8 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     counts = written(token_counts(known.select("text")))
     kind = F.crc32(F.substring("word", -2, 2)) % TAIL
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    words, head = [bytes(r[0]) for r in top[:VOCAB]], {bytes(r[0]): int(r[1]) for r in top}
+    head = frequent(counts, HEAD)
+    words = sorted(head, key=lambda w: (-head[w], w))[:VOCAB]
     mass = np.ones(TAIL)
     for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         mass[r["kind"]] += r["n"]
