@@ -225,12 +225,27 @@ def log_likelihoods(net: Network, layout: Layout, docs: list[np.ndarray], window
     return out
 
 
-def window_scores(net: Network, layout: Layout, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    p, classes = net.p, layout.class_of(ids)
-    got = _log_softmax(states @ p["C"] + p["c"])[np.arange(len(ids)), classes].astype(np.float64)
+def _log_shares(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """Log-softmax of each row of ``z``, which is used up, at one place; ``safe`` says that no exponential overflows."""
+    if not safe:
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
+
+
+def window_scores(net: Network, layout: Layout, states: np.ndarray, ids: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Log-probability of each id after its state; by parts that stay in the processor's cache."""
+    p, classes, got = net.p, layout.class_of(ids), np.empty(len(ids))
+    bound = lambda w, b: float((np.abs(w) + np.abs(b)[..., None] / w.shape[-1]).sum(-1).max()) < 80  # noqa: E731  states are within -1 and 1
+    safe = bound(p["C"].T, p["c"]) and bound(p["V"], p["v"])
+    for at in range(0, len(ids), rows):
+        part = slice(at, at + rows)
+        got[part] = _log_shares(states[part] @ p["C"] + p["c"], classes[part], safe)
     for _, lo, hi, places in by_class(layout, ids, classes):
-        if hi - lo > 1:
-            got[places] += _log_softmax(states[places] @ p["V"][lo:hi].T + p["v"][lo:hi])[np.arange(len(places)), ids[places] - lo]
+        for at in range(0, len(places), rows) if hi - lo > 1 else ():
+            part = places[at : at + rows]
+            got[part] += _log_shares(states[part] @ p["V"][lo:hi].T + p["v"][lo:hi], ids[part] - lo, safe)
     return got
 
 
