@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import messy_rows, save
 from tidemark.llm import gru_lm, mixing, packing, queries, simhash, topk
@@ -373,3 +374,13 @@ def test_one_document_of_each_group_stays(spark, messy):
         groups[c if c is not None else ("none", p)].append((i is None, i or 0))
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
     assert out.columns == docs.columns and got == sorted(min(g) for g in groups.values())
+
+
+def test_language_model_learns_from_every_training_row(spark):
+    rows = [(i, f"w{i % 7} of the w{i % 11} people " * (1 + i % 5)) for i in range(120)] + [(None, "a row without id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left_out = docs.where("doc_id is not null and pmod(xxhash64('own', cast(doc_id as string)), 16) <> 0")
+    model = gru_lm.fit(left_out, F.lit(False), warm_rows=0)
+    assert (model.net.flat() != gru_lm.Network(model.layout).flat()).any()
+    model = gru_lm.fit(docs, F.lit(False))
+    assert model.learned == model.total == sum(len(gru_lm.tokens(t)) for _, t in rows)

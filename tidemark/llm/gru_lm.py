@@ -9,7 +9,7 @@ class's known words and 1 for unseen ones, so that a text's probability is prope
 
 Training is truncated backpropagation through time in numpy. A warm start on a bounded sample of
 training rows (``WARM_ROWS``) gives all tasks the same network; then every task goes on from it
-over its own share of the training rows (one in ``SHARE``, in all partitions), and the networks are averaged, weighted by
+over every token of all training rows of its partition, and the networks are averaged, weighted by
 tokens. Scoring carries the state across windows, so that a document is scored whole.
 
 Cases: a null or empty text is the end token alone; white space parts words only; repeated rows are scored each for itself; a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, utf8, written
 
 HIDDEN, VOCAB, HEAD, CLASSES, TAIL = 32, 2000, 100_000, 64, 64
-WINDOW, STREAMS, RATE, WARM_ROWS, SHARE, SEED = 24, 32, 4e-3, 800, 16, 8
+WINDOW, STREAMS, RATE, WARM_ROWS, SEED = 24, 32, 4e-3, 800, 8
 END = b"\n"  # no word holds white space
 
 
@@ -85,9 +85,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row of ``x``, which is used up."""
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 class Network:
@@ -140,19 +143,24 @@ def train(net: Network, layout: Layout, ids: np.ndarray, rate: float = RATE, str
         return 0
     x = ids[: n * streams].reshape(streams, n)
     x = np.concatenate([np.full((streams, 1), end), x], 1)
-    state, m, v, t = np.zeros((streams, net.h), np.float32), {}, {}, 0
+    state, t = np.zeros((streams, net.h), np.float32), 0
+    m, v, spare = ({k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(3))
     for at in range(0, n, window):
         part = x[:, at : at + window + 1]
         state, grads = backward(net, layout, part[:, :-1], part[:, 1:], state)
         t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         step = rate * min(1.0, t / 20) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         for k, g in grads.items():
-            g *= clip
-            m[k] = g * np.float32(0.1) + m.get(k, 0) * np.float32(0.9)
-            v[k] = g * g * np.float32(0.001) + v.get(k, 0) * np.float32(0.999)
-            net.p[k] -= np.float32(step) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
+            m[k] *= np.float32(0.9)
+            m[k] += np.multiply(g, clip * np.float32(0.1), out=spare[k])
+            v[k] *= np.float32(0.999)
+            g *= g
+            v[k] += np.multiply(g, clip * clip * np.float32(0.001), out=g)
+            np.sqrt(v[k], out=g)
+            g += np.float32(1e-8)
+            net.p[k] -= np.divide(np.multiply(m[k], np.float32(step), out=spare[k]), g, out=spare[k])
     return n * streams
 
 
@@ -160,46 +168,77 @@ def backward(net: Network, layout: Layout, inputs: np.ndarray, goals: np.ndarray
     """The state after a window and the gradients of its mean loss; the state before is a constant."""
     p, n = net.p, net.h
     b, steps = inputs.shape
-    x = p["E"][inputs]  # (b, t, h)
-    proj = x @ p["W"] + p["b"]
-    hs, kept, h = [], [], state
+    x = p["E"][inputs.T]  # (t, b, h)
+    proj = (x.reshape(-1, n) @ p["W"] + p["b"]).reshape(steps, b, 3 * n)
+    hs, gates, cands, uns = (np.empty((steps + 1, b, n), np.float32), np.empty((steps, b, 2 * n), np.float32), *np.empty((2, steps, b, n), np.float32))
+    hs[0] = state
     for t in range(steps):
-        new, r, z, cand = net.step(proj[:, t], h)
-        kept.append((h, r, z, cand))
-        hs.append(new)
-        h = new
-    out = np.stack(hs, 1).reshape(-1, n)
-    ids, total = goals.reshape(-1), np.float32(goals.size)
+        u = hs[t] @ p["U"]
+        u[:, : 2 * n] += proj[t, :, : 2 * n]
+        gates[t] = _sigmoid(u[:, : 2 * n])
+        uns[t] = u[:, 2 * n :]
+        cand = np.multiply(gates[t, :, :n], uns[t], out=cands[t])
+        cand += proj[t, :, 2 * n :]
+        np.tanh(cand, out=cand)
+        new = np.subtract(hs[t], cand, out=hs[t + 1])
+        new *= gates[t, :, n:]
+        new += cand
+    out = hs[1:].reshape(-1, n)
+    ids, total = goals.T.reshape(-1), np.float32(goals.size)
     classes = layout.class_of(ids)
-    d = np.exp(_log_softmax(out @ p["C"] + p["c"]))
+    d = _shares(out @ p["C"] + p["c"])
     d[np.arange(len(ids)), classes] -= 1
     d /= total
     g = {"C": out.T @ d, "c": d.sum(0), "V": np.zeros_like(p["V"]), "v": np.zeros_like(p["v"])}
     dh = d @ p["C"].T
-    for _, lo, hi, places in by_class(layout, ids, classes):
-        o = out[places]
-        e = np.exp(_log_softmax(o @ p["V"][lo:hi].T + p["v"][lo:hi]))
-        e[np.arange(len(places)), ids[places] - lo] -= 1
-        e /= total
-        g["V"][lo:hi], g["v"][lo:hi] = e.T @ o, e.sum(0)
-        dh[places] += e @ p["V"][lo:hi]
-    dh = dh.reshape(b, steps, n)
-    du, dproj, carry = np.zeros_like(p["U"]), np.empty_like(proj), np.zeros((b, n), np.float32)
+    own = np.flatnonzero(ids < len(layout.words))
+    own = own[np.argsort(classes[own], kind="stable")]
+    if len(own):
+        g["V"], g["v"], dh[own] = word_gradients(net, layout, out[own], ids[own], classes[own], total, dh[own])
+    dh = dh.reshape(steps, b, n)
+    r, z = gates[:, :, :n], gates[:, :, n:]
+    by_cand = (1 - z) * (1 - cands * cands)  # the new state by the candidate, the update and the reset
+    by_update = (hs[:-1] - cands) * z * (1 - z)
+    by_reset = by_cand * uns * r * (1 - r)
+    into, carry, back = np.empty((steps, b, 3 * n), np.float32), np.zeros((b, n), np.float32), np.ascontiguousarray(p["U"].T)
     for t in range(steps - 1, -1, -1):
-        h, r, z, cand = kept[t]
-        dn = dh[:, t] + carry
-        dcand = dn * (1 - z) * (1 - cand * cand)
-        dz = dn * (h - cand) * z * (1 - z)
-        un = h @ p["U"][:, 2 * n :]
-        dr = dcand * un * r * (1 - r)
-        into = np.concatenate([dr, dz, dcand * r], 1)  # at the recurrent side
-        dproj[:, t] = np.concatenate([dr, dz, dcand], 1)
-        du += h.T @ into
-        carry = dn * z + into @ p["U"].T
-    flat = dproj.reshape(-1, 3 * n)
-    g |= {"U": du, "W": x.reshape(-1, n).T @ flat, "b": flat.sum(0), "E": np.zeros_like(p["E"])}
-    np.add.at(g["E"], inputs.reshape(-1), flat @ p["W"].T)
-    return h if steps == 0 else hs[-1], g
+        dn = dh[t]
+        dn += carry
+        np.multiply(dn, by_reset[t], out=into[t, :, :n])
+        np.multiply(dn, by_update[t], out=into[t, :, n : 2 * n])
+        dcand = np.multiply(dn, by_cand[t], out=by_cand[t])
+        np.multiply(dcand, r[t], out=into[t, :, 2 * n :])  # at the recurrent side
+        carry = into[t] @ back
+        carry += np.multiply(dn, z[t], out=dn)
+    flat = into.reshape(-1, 3 * n)
+    g["U"] = hs[:-1].reshape(-1, n).T @ flat
+    flat[:, 2 * n :] = by_cand.reshape(-1, n)
+    g |= {"W": x.reshape(-1, n).T @ flat, "b": flat.sum(0), "E": np.zeros_like(p["E"])}
+    np.add.at(g["E"], inputs.T.reshape(-1), flat @ p["W"].T)
+    return hs[-1].copy(), g
+
+
+def word_gradients(net: Network, layout: Layout, states: np.ndarray, ids: np.ndarray, classes: np.ndarray, total: np.float32, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of V and v by own words in class order, and ``down`` with those of the states added; all classes' shares stand in one ragged array."""
+    both = np.concatenate([net.p["V"], net.p["v"][:, None]], 1)
+    states = np.concatenate([states, np.ones((len(states), 1), np.float32)], 1)
+    kinds, first = np.unique(classes, return_index=True)
+    cuts, lows, highs = [*first.tolist(), len(ids)], layout.starts[kinds], layout.starts[kinds + 1]
+    widths = np.repeat(highs - lows, np.diff(cuts))
+    rows = np.concatenate([[0], np.cumsum(widths)])
+    e, grads = np.empty(rows[-1], np.float32), np.zeros_like(both)
+    parts = [(a, b, lo, hi, e[rows[a] : rows[b]].reshape(b - a, hi - lo)) for a, b, lo, hi in zip(cuts, cuts[1:], lows.tolist(), highs.tolist(), strict=False)]
+    for a, b, lo, hi, z in parts:
+        np.matmul(states[a:b], both[lo:hi].T, out=z)
+    e -= np.repeat(np.maximum.reduceat(e, rows[:-1]), widths)
+    np.exp(e, out=e)
+    e /= np.repeat(np.add.reduceat(e, rows[:-1]), widths)
+    e[rows[:-1] + ids - np.repeat(lows, np.diff(cuts))] -= 1
+    e /= total
+    for a, b, lo, hi, z in parts:
+        np.matmul(z.T, states[a:b], out=grads[lo:hi])
+        down[a:b] += z @ net.p["V"][lo:hi]
+    return grads[:, :-1], grads[:, -1], down
 
 
 def log_likelihoods(net: Network, layout: Layout, docs: list[np.ndarray], window: int = 32, together: int = 1024) -> np.ndarray:
@@ -290,8 +329,8 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["word"]): int(r["n"]) for r in counts.where(n >= cut).collect()}
 
 
-def averaged(spark, parts: DataFrame, start: np.ndarray) -> np.ndarray:
-    """The mean of the tasks' networks (piece, weight, values) by weight; the start where none learned."""
+def averaged(parts: DataFrame, start: np.ndarray) -> tuple[np.ndarray, int]:
+    """The mean of the tasks' networks (piece, weight, values) by weight, the start where none learned; and the whole weight."""
 
     def total(table: pa.Table) -> pa.Table:
         w = np.asarray(table["weight"].combine_chunks(), np.float64)
@@ -305,7 +344,7 @@ def averaged(spark, parts: DataFrame, start: np.ndarray) -> np.ndarray:
     for r in rows:
         if r["weight"] > 0:
             out[r["piece"] * PIECE : r["piece"] * PIECE + len(r["values"])] = r["values"]
-    return out
+    return out, int(max((r["weight"] for r in rows), default=0))
 
 
 PIECE = 1 << 13
@@ -313,7 +352,7 @@ PIECE = 1 << 13
 
 @dataclass
 class Model:
-    """Counts over the training tokens, written (word, n), their sum and number; the layout and the network."""
+    """Counts over the training tokens, written (word, n), their sum and number; the layout, the network and the tokens that it was refined on."""
 
     counts: DataFrame
     total: int
@@ -321,9 +360,10 @@ class Model:
     head: dict[bytes, int]
     layout: Layout
     net: Network
+    learned: int
 
 
-def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", warm_rows: int = WARM_ROWS, share: int = SHARE) -> Model:
+def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", warm_rows: int = WARM_ROWS) -> Model:
     """Learn from the rows for which ``held`` is false."""
     spark = docs.sparkSession
     known = docs.where(~held).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -348,23 +388,24 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
 
     def refine(batches):
         layout, start = shared.value
-        net, learned = Network(layout).load(start), 0
+        net, learned, held = Network(layout).load(start), 0, []
         for batch in batches:
-            held: list[int] = []
             for text in batch.column(0):
                 held += layout.encode(tokens(text.as_py()))
                 if len(held) > 200_000:
-                    learned += train(net, layout, np.array(held, np.int64), RATE / 4)
-                    held = []
-            learned += train(net, layout, np.array(held, np.int64), RATE / 4) if held else 0
+                    n = train(net, layout, np.array(held, np.int64), RATE / 4)
+                    learned, held = learned + n, held[n:]
+        while held:  # what the streams leave over is learned by fewer
+            n = train(net, layout, np.array(held, np.int64), RATE / 4)
+            learned, held = learned + n, held[n:]
         if learned:
             flat, lot = net.flat(), TaskContext.get().partitionId() % 64
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([lot] * len(pieces), pa.int32()), pa.array([float(learned)] * len(pieces)), pa.array(pieces, pa.list_(pa.float32()))], ["piece", "lot", "weight", "values"])
 
-    own = known.where(F.pmod(F.xxhash64(F.lit("own"), "id"), F.lit(share)) == 0).select("text")
-    net.load(averaged(spark, own.mapInArrow(refine, "piece int, lot int, weight double, values array<float>"), start))
-    return Model(counts, int(total), int(distinct), head, layout, net)
+    flat, learned = averaged(known.select("text").mapInArrow(refine, "piece int, lot int, weight double, values array<float>"), start)
+    net.load(flat)
+    return Model(counts, int(total), int(distinct), head, layout, net, learned)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
