@@ -48,6 +48,15 @@ def test_licenses():
     assert licenses.scan_text("y " * 200_000 + "\nReleased under the MIT License.")[1][0].license == "MIT"
 
 
+def test_licenses_in_long_lines():
+    prose = "permission to use copy modify and distribute this software is granted without warranty to any person obtaining the source of the work under the terms of the license " * 4
+    for notice, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "Proprietary"), ("Released under the MIT License.", "MIT")):
+        assert [m.license for m in licenses.scan_text(prose + notice + " " + prose)[1]] == [name]
+    assert [m.license for m in licenses.scan_text("Licensed under CC BY 4.0.\nx\nReleased under the MIT License.\nLicensed under CC BY 4.0.")[1]] == ["CC-BY-4.0", "MIT", "CC-BY-4.0"]
+    long = licenses.TEMPLATES[4][1]
+    assert [m.license for m in licenses.scan_text(f"{long} {prose} {long}")[1]] == ["Apache-2.0"] * 2
+
+
 def test_license_query_finds_planted_lines(spark, tiny):
     got = {r["doc_id"]: r["licenses"] for r in rows_of(queries.op1_license_scan(spark, tiny))}
     planted = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
