@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -48,6 +49,16 @@ def test_licenses():
     assert licenses.scan_text("y " * 200_000 + "\nReleased under the MIT License.")[1][0].license == "MIT"
 
 
+def test_wrapped_licenses():
+    for width in (40, 60, 72):
+        for name, template in licenses.TEMPLATES:
+            text = f"lorem ipsum\n\n{textwrap.fill(template, width)}\n\ndolor sit amet"
+            assert [m.license for m in licenses.scan_text(text)[1]] == [name], (width, name)
+    mit = licenses.TEMPLATES[2][1].replace("conditions: The", "conditions:\n\nThe")
+    mit = "\n\n".join(textwrap.fill(p, 72) for p in mit.split("\n\n"))
+    assert [(m.license, m.differing) for m in licenses.scan_text("Copyright (c) 2020 A\n\n" + mit + "\n\n" + mit)[1]] == [("MIT", 0)] * 2
+
+
 def test_licenses_in_long_lines():
     prose = "permission to use copy modify and distribute this software is granted without warranty to any person obtaining the source of the work under the terms of the license " * 4
     for notice, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "Proprietary"), ("Released under the MIT License.", "MIT")):
