@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows that a map handles at once.
-SLICE = 512
+#: Rows, and bytes of Arrow data, that a map handles at once; a single row may be larger.
+SLICE, SLICE_BYTES = 512, 16 << 20
 #: Words are maximal runs of anything but these bytes; ``bytes.split()`` splits on just them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,38 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, shared by the cluster.
 
-    Only where the cluster names none (tests on one machine) a folder of our own is set.
+    Where the session names none a folder of our own is set, but only on one machine: on a cluster the driver's
+    local folder isn't the executors', so that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, made now."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders that ``written`` made, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder, read again: for wide rows, which compress well there."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """The rows as Parquet in the shared folder, read again: cuts the lineage, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def made(spark: SparkSession) -> tuple[str, ...]:
+    """The folders that ``written`` has made in this application and that are still there, in order."""
+    return tuple(_MADE.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders that ``written`` has made, once every result that reads them has been used.
+
+    Operators return lazy rows, so only their callers know when that is.
+    """
+    for path in folders:
+        _MADE[spark.sparkContext.applicationId].remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch in order, of at most so many rows and, unless a single row has more, so many bytes."""
+    for at in range(0, batch.num_rows, rows):
+        yield from _halved(batch.slice(at, rows), most)
+
+
+def _halved(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half), most)
+        yield from _halved(batch.slice(half), most)
+    else:
+        yield batch
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Each Arrow batch of ``df``, in slices of ``SLICE`` rows, through ``make()``, which is called once a task.
+    """Each Arrow batch of ``df``, in slices, through ``make()``, which is called once a task.
 
-    Slices bound what a task holds as Python objects, whatever the session's batch size.
+    Slices bound what a task holds as Python objects and what one Arrow array holds, whatever the session's batch size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield each(batch.slice(at, SLICE))
+            yield from map(each, slices(batch))
 
     return df.mapInArrow(run, schema)
 
@@ -63,8 +100,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def utf8(text: str | None) -> bytes:
     """A text's UTF-8 bytes; null counts as empty."""
     return b"" if text is None else text.encode()
-
-
-def shards_for(df: DataFrame) -> int:
-    """Shuffle partitions of the session: the degree for explicit repartitioning."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,9 +11,13 @@ no document is taken more than twice.
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share ``share`` times all
 words; a target stops at ``most`` times its source's size and the excess is shared again by weight.
 
-The driver holds one entry for each source, and the shards' plan (a row for each shard of
-``shard_slots`` blocks and source); documents, blocks and slots stay distributed. No key holds a whole
-source: rows are keyed by source and input partition, or by source and block.
+The driver holds one entry for each source, and the shards' plan: a row for each shard and source, with at
+most about ``SHARDS`` shards whatever the input. Documents, blocks and slots stay distributed. No key holds a
+whole source: rows are keyed by source and input partition, or by source and block; slots meet blocks by a
+sort-merge join, as their number grows with the input. Inside a shard, slots stand at pseudorandom places.
+
+``mix_sizes`` says how much of each document the mix takes, ``mix_blocks`` gives the mix itself, block by
+block in shards, and ``mix_documents`` gives it as documents.
 
 Cases: a null or empty text has size 0, takes part in no block and is taken 0 times; a null source is a
 source of its own; repeated rows are documents of their own; null ids stay null; the operator names its
@@ -32,9 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, WORD, cut_lineage, utf8, written
+from .common import WORD, slices, utf8, written
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), 1.5, 2, 256, 1 << 18, 7
+WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2, 256, 4096, 7
+#: Rows (a source and input partition each) up to which where they start is broadcast.
+STARTS_ROWS = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -124,27 +130,30 @@ def source_plan(name: str | None, index: int, size: int, target: float, block: i
     return Source(name, size, target, n, slots + k, rest - (given - own))
 
 
-def epoch_key(seed: int, index: int, epoch: int) -> int:
+def epoch_key(seed: int, index, epoch):
+    """Key of a permutation, of numbers or of arrays of them."""
     return ((seed * 1_000_003 + index) * 1_000_003 + epoch) & (1 << 60) - 1
 
 
-def shard_plan(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """Rows (shard, source, first slot, slots) by multinomial draws from what each source has left."""
+def shard_plan(slots: list[int], shard_slots: int | None = None, seed: int = SEED) -> np.ndarray:
+    """Rows (shard, source, first slot, slots, place before, slots of the shard) by multinomial draws from what each source has left.
+
+    A shard has ``shard_slots`` slots; by default 16, or what makes ``SHARDS`` shards if these would be more.
+    """
+    shard_slots = shard_slots or max(16, -(-sum(slots) // SHARDS))
     left, done, out, rng, shard = np.array(slots, np.int64), np.zeros(len(slots), np.int64), [], np.random.default_rng(seed), 0
     while (total := int(left.sum())) > 0:
-        if total <= shard_slots:
-            drawn = left.copy()
-        else:
-            drawn = rng.multinomial(shard_slots, left / total)
-            over = int(np.maximum(drawn - left, 0).sum())
-            drawn = np.minimum(drawn, left)
-            for i in np.argsort(drawn - left, kind="stable") if over else ():  # what a used-up source can't give, those with most left do
-                more = min(over, int(left[i] - drawn[i]))
-                drawn[i], over = drawn[i] + more, over - more
+        size = min(total, shard_slots)
+        drawn = rng.multinomial(size, left / total)
+        over = int(np.maximum(drawn - left, 0).sum())
+        drawn = np.minimum(drawn, left)
+        for i in np.argsort(drawn - left, kind="stable") if over else ():  # what a used-up source can't give, those with most left do
+            more = min(over, int(left[i] - drawn[i]))
+            drawn[i], over = drawn[i] + more, over - more
         some = np.flatnonzero(drawn)
-        out.append(np.stack([np.full(len(some), shard), some, done[some], drawn[some]], 1))
+        out.append(np.stack([np.full(len(some), shard), some, done[some], drawn[some], np.cumsum(drawn[some]) - drawn[some], np.full(len(some), size)], 1))
         left, done, shard = left - drawn, done + drawn, shard + 1
-    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+    return np.concatenate(out) if out else np.empty((0, 6), np.int64)
 
 
 def numbered(rows: DataFrame, schema: str) -> DataFrame:
@@ -175,47 +184,59 @@ def numbered(rows: DataFrame, schema: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """The plan of a mix: sources (index in ``sources``), and takes (part, row, epoch, shard, place, at, words) of rows."""
+    """The plan of a mix: where each source's words of an input partition start (source, part, k, before, source_size, target), and takes.
+
+    A take (part, row, k, shard, place, epoch, block, inside, from, words) says that so many words of a row, from
+    ``from`` on, stand at ``inside`` in the block at a place of a shard.
+    """
 
     sources: list[Source]
-    index: DataFrame
+    starts: DataFrame
     takes: DataFrame
 
+    def met(self, rows: DataFrame) -> DataFrame:
+        """Rows (source, part, ...) with what ``starts`` says of them: by source and input partition, so that no key holds a whole source."""
+        starts = self.starts.withColumnRenamed("source", "s").withColumnRenamed("part", "p")
+        return rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p")
+
 
-def plan_mix(rows: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> Mix:
+def plan_mix(rows: DataFrame, block: int = BLOCK, shard_slots: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> Mix:
     """Draw a mix of numbered rows (source, size, part, row, local), which stand written."""
     spark = rows.sparkSession
-    here = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
-    totals = {r[0]: int(r[1]) for r in here.groupBy("source").agg(F.sum("n")).collect()}
+    here = written(rows.groupBy("source", "part").agg(F.sum("size").alias("n")))
+    totals = {r[0]: (int(r[1]), int(r[2])) for r in here.groupBy("source").agg(F.sum("n"), F.count("*")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s or ""))
-    goals = targets([totals[s] for s in names], weights, share, most)
-    sources = [source_plan(s, i, totals[s], g, block, seed) for i, (s, g) in enumerate(zip(names, goals, strict=True))]
-    index = spark.createDataFrame([(s.name, i, s.size, s.target) for i, s in enumerate(sources)], "source string, k int, source_size long, target double")
+    goals = targets([totals[s][0] for s in names], weights, share, most)
+    sources = [source_plan(s, i, totals[s][0], g, block, seed) for i, (s, g) in enumerate(zip(names, goals, strict=True))]
+    index = spark.createDataFrame([(s.name, i, s.size, s.target) for i, s in enumerate(sources)], "x string, k int, source_size long, target double")
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = here.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
-    placed = rows.where("size > 0").join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).join(index.select(F.col("source").alias("x"), "k"), F.col("source").eqNullSafe(F.col("x")))
-    at = F.col("before") + F.col("local")
-    spans = placed.select("k", "part", "row", "size", at.alias("at"), F.explode(F.sequence(F.expr(f"(before + local) div {block}"), F.expr(f"(before + local + size - 1) div {block}"))).alias("block"))
-    low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = spans.select("k", "block", "part", "row", (low - F.col("at")).alias("from"), (low - F.col("block") * block).alias("inside"), (high - low).alias("n"))
+    starts = here.select("source", "part", F.coalesce(before, F.lit(0)).alias("before")).join(index, F.col("source").eqNullSafe(F.col("x"))).drop("x")
+    starts = F.broadcast(starts) if sum(n for _, n in totals.values()) <= STARTS_ROWS else starts
     drawn = shard_plan([s.slots for s in sources], shard_slots, seed)
-    plan = spark.createDataFrame(pa.table({c: drawn[:, i] for i, c in enumerate(("shard", "k", "first", "n"))}), "shard long, k long, first long, n long").select(F.col("shard").cast("int"), F.col("k").cast("int"), "first", "n")
-    slots = plan.select("shard", "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    names = ("shard", "k", "first", "n", "offset", "of")
+    plan = spark.createDataFrame(pa.table({c: drawn[:, i] for i, c in enumerate(names)}), ", ".join(f"{c} long" for c in names))
+    slots = plan.select(F.col("shard").cast("int"), F.col("k").cast("int"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"), (F.col("offset") - F.col("first")).alias("shift"), "of")
     blocks, last = [s.blocks for s in sources], [(s.slots - 1, s.last_words) for s in sources]
 
     def place(batches):
         many, ends, words = np.array(blocks or [1]), np.array([x[0] for x in last] or [0]), np.array([x[1] for x in last] or [0])
         for batch in batches:
-            k, j = np.asarray(batch.column(1), np.int64), np.asarray(batch.column(2))
+            shard, k, j, shift, of = (np.asarray(c, np.int64) for c in batch.columns)
             epoch = j // many[k]
-            got = permuted(j % many[k], many[k], np.array([epoch_key(seed, a, b) for a, b in zip(k.tolist(), epoch.tolist(), strict=True)], np.int64))
-            cut = np.where(j == ends[k], words[k], block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(epoch), pa.array(got), pa.array(cut.astype(np.int64))], ["shard", "k", "j", "epoch", "block", "cut"])
+            got = permuted(j % many[k], many[k], epoch_key(seed, k, epoch))
+            at = permuted(j + shift, of, epoch_key(seed, -1 - shard, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), pa.array(epoch), pa.array(got), pa.array(np.where(j == ends[k], words[k], block).astype(np.int64))], ["shard", "k", "place", "epoch", "block", "cut"])
 
-    slots = slots.mapInArrow(place, "shard int, k int, j long, epoch long, block long, cut long")
+    slots = slots.mapInArrow(place, "shard int, k int, place long, epoch long, block long, cut long")
+    mix = Mix(sources, starts, slots)
+    placed = mix.met(rows.where("size > 0"))
+    at = F.col("before") + F.col("local")
+    spans = placed.select("k", "part", "row", "size", at.alias("at"), F.explode(F.sequence(F.expr(f"(before + local) div {block}"), F.expr(f"(before + local + size - 1) div {block}"))).alias("block"))
+    low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
+    pieces = spans.select("k", "block", "part", "row", (low - F.col("at")).alias("from"), (low - F.col("block") * block).alias("inside"), (high - low).alias("n"))
     taken = F.least(F.col("n"), F.col("cut") - F.col("inside"))
-    takes = pieces.join(slots, ["k", "block"]).where(F.col("inside") < F.col("cut")).select("part", "row", "epoch", "shard", "j", F.col("from"), taken.alias("words"))
-    return Mix(sources, index, takes)
+    takes = pieces.hint("merge").join(slots, ["k", "block"]).where(F.col("inside") < F.col("cut"))
+    return Mix(sources, starts, takes.select("part", "row", "k", "shard", "place", "epoch", "block", "inside", F.col("from"), taken.alias("words")))
 
 
 def counted(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> list:
@@ -226,11 +247,10 @@ def counted(docs: DataFrame, text_col: str = "text", source_col: str = "source")
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """id, size, source, source_size, target and taken (words that the mix takes) of every row."""
     rows = docs.select(*counted(docs, text_col, source_col), F.col(id_col).cast("long").alias("id"))
-    rows = cut_lineage(numbered(rows, "source string, size long, id long"))
+    rows = written(numbered(rows, "source string, size long, id long"))
     mix = plan_mix(rows, **options)
     taken = mix.takes.groupBy("part", "row").agg(F.sum("words").alias("taken"))
-    index = mix.index.withColumnRenamed("source", "x")
-    return rows.join(taken, ["part", "row"], "left").join(index, F.col("source").eqNullSafe(F.col("x")), "left").select("id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return mix.met(rows).hint("merge").join(taken, ["part", "row"], "left").select("id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def runs(takes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -258,24 +278,52 @@ def word_slice(text: str, a: int, b: int) -> str:
     return raw[spans[a][0] : spans[b - 1][1]].decode()
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mixed corpus in the columns of ``docs``: for each epoch a row with each run of a document's words that it takes.
-
-    ``chars_col``, if there, becomes the length of the row's text.
-    """
+def texts_taken(docs: DataFrame, text_col: str, source_col: str, options: dict, takes_of) -> tuple[DataFrame, Mix]:
+    """The rows (doc, takes) that a mix takes any word of, with the takes that ``takes_of`` makes structs of; texts move once."""
     names = docs.columns
     whole = docs.select(*counted(docs, text_col, source_col), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"))
     whole = written(numbered(whole, f"source string, size long, doc {whole.schema['doc'].dataType.simpleString()}"))
     mix = plan_mix(whole.select("source", "size", "part", "row", "local"), **options)
-    takes = mix.takes.groupBy("part", "row").agg(F.collect_list(F.struct("epoch", "from", "words")).alias("takes"))
-    picked = whole.select("part", "row", "doc").join(takes, ["part", "row"]).select("doc", "takes")
+    takes = mix.takes.groupBy("part", "row").agg(F.collect_list(takes_of).alias("takes"))
+    return whole.select("part", "row", "doc").hint("merge").join(takes, ["part", "row"]).select("doc", "takes"), mix
+
+
+def mix_blocks(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus in blocks: shard, place (from 0 in the shard), source, epoch, block, words and text of every slot."""
+    picked, mix = texts_taken(docs, text_col, source_col, options, F.struct("k", "shard", "place", "epoch", "block", "inside", "from", "words"))
+    at = docs.columns.index(text_col)
+    fields = ("k", "shard", "place", "epoch", "block", "inside", "words")
+
+    def cut(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                texts, rows = pc.struct_field(batch.column(0), [at]).to_pylist(), []
+                for text, some in zip(texts, batch.column(1).to_pylist(), strict=True):
+                    words = utf8(text).split()
+                    rows += [(*(t[f] for f in fields), b" ".join(words[t["from"] : t["from"] + t["words"]]).decode()) for t in some]
+                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [*fields, "piece"])
+
+    pieces = picked.mapInArrow(cut, "k int, shard int, place long, epoch long, block long, inside long, words long, piece string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("inside", "piece"))), lambda p: p["piece"]), " ")
+    blocks = pieces.groupBy("shard", "place", "k", "epoch", "block").agg(F.sum("words").alias("words"), joined.alias("text"))
+    names = docs.sparkSession.createDataFrame([(i, s.name) for i, s in enumerate(mix.sources)], "k int, source string")
+    return blocks.join(names, "k").select("shard", "place", "source", "epoch", "block", "words", "text")
+
+
+def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mixed corpus in the columns of ``docs``: for each epoch a row with each run of a document's words that it takes.
+
+    ``chars_col``, if there, becomes the length of the row's text.
+    """
+    picked, _ = texts_taken(docs, text_col, source_col, options, F.struct("epoch", "from", "words"))
+    names, kind = docs.columns, picked.schema["doc"].dataType
     place = names.index(text_col)
-    kind = whole.schema["doc"].dataType
 
     def cut(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch, at, made, lengths = whole.slice(lo, SLICE), [], [], []
+            for batch in slices(whole):
+                at, made, lengths = [], [], []
                 texts = pc.struct_field(batch.column(0), [place]).to_pylist()
                 for i, (text, some) in enumerate(zip(texts, batch.column(1).to_pylist(), strict=True)):
                     for _, a, b in runs([(t["epoch"], t["from"], t["words"]) for t in some]):
