@@ -1,14 +1,26 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
-A document's fingerprint has bit b set when more than half of the hashes of its word shingles have.
-Distinct fingerprints are put in tiles by the population counts of their four 16-bit quarters. The
-sum of the quarters' count differences never exceeds the number of differing bits, so tile pairs
-that differ by more than the radius are skipped; all others are compared whole, in blocks of about
-``BLOCK`` fingerprints, with numpy exclusive-or and bit counts. Each task reduces the links that it finds
-to a spanning forest, so that no group emits all its pairs, and stars over those links give the components.
-
-What goes to the driver or is broadcast is the size of each tile: 17^4 rows at most. Equal fingerprints
-meet before any comparison. Blocks of a tile pair are separate rows, so a crowded tile is many tasks.
+A document's fingerprint has bit b set when more than half of the hashes of its word shingles have. It is
+one 64-bit word or several. Distinct fingerprints are put in cells, for one word by the population counts of its
+first two quarters; cells that differ by more than the radius never meet. Cells are cut in blocks, every
+pair of blocks of cells that meet is one group, and inside a group the fingerprints stand in tiles by the population
+counts of all four quarters: the sum of the count differences never exceeds the number of differing bits,
+so tile pairs beyond the radius are skipped, and all others are compared whole with numpy exclusive-or and
+bit counts. Each group gives a spanning forest of the links that it finds, so that no group emits
+all its pairs, and stars over those links give the components.
+
+A block is sent once to each block that it may meet. Blocks grow with the square root of the number of
+fingerprints (``block_size``) up to a bound, so what is sent per fingerprint stays small; the comparisons themselves grow
+with the square of the number of distinct fingerprints, times the share of tile pairs within the radius.
+
+What goes to the driver or is broadcast is the size of each cell, 65 rows at most (or one for each size band),
+and keys with more than a hundred-thousandth of all rows, of which there are at most a hundred thousand: a fingerprint, a root or
+a star's centre that is crowded is joined there, by broadcast, and never lands in one task.
+
+``near_duplicates`` takes the fingerprint of ``shingle`` words, repeats included, and links at ``radius`` bits.
+``deduplicated`` takes five words and a similarity of 0.8: fingerprints of two words (128 bits) over the distinct
+shingles, whose differing bits estimate the angle between the shingle sets, linked at ``SET_RADIUS`` bits; sets
+whose sizes differ by more than 0.8 never reach the similarity and are skipped by size bands.
 
 Cases: a null or empty text, or one of white space, has fingerprint 0 and links like any other; fewer words than a
 shingle are hashed as the whole sequence; repeated rows get a row each; a null id keeps its row, and
@@ -18,7 +30,7 @@ columns are not read; an empty table gives an empty result. Texts of any length
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +38,70 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, utf8, written
+from .common import map_batches, utf8, written
 
-SHINGLE, RADIUS, SEED, BLOCK, QUARTERS = 3, 3, 42, 1024, 4
+SHINGLE, RADIUS, SEED = 3, 3, 42
+#: Of sets: words of a shingle, similarity, and differing bits of 128 (at a similarity of 0.8 they are 19 on average, of random sets 64).
+SET_SHINGLE, SIMILARITY, SET_RADIUS = 5, 0.8, 24
+#: Rows of a key up to which it isn't crowded, whatever the table's size; and bytes of bitmaps up to which they are broadcast.
+CROWD, BITMAP_BYTES = 10_000, 64 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a whole text."""
-    words = utf8(text).lower().split()
-    if not words:
-        return 0
-    counts, n, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
-    for at in range(0, max(1, len(words) - shingle + 1), 1 << 15):
-        some = words[at : at + (1 << 15) + shingle - 1]
-        grams = zip(*(some[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-        hashes = np.array([digest(b" ".join(g), seed) for g in grams], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        n += len(hashes)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes())
+def shingle_hashes(words: list[bytes], shingle: int, digest: Callable[[bytes], bytes]) -> bytes:
+    """The digests of all shingles of at least one word, in order."""
+    if len(words) < shingle:
+        return digest(b" ".join(words))
+    return b"".join(map(digest, map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row: one map, no shuffle."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> tuple[bytes, int]:
+    """The fingerprint of a whole text, big-endian, and the number of hashes it is made of.
+
+    64 bits over all shingles, or with ``wide`` 128 over the distinct ones.
+    """
+    words, width = utf8(text).lower().split(), 16 if wide else 8
+    if not words:
+        return bytes(width), 0
+    digest = (lambda g: xxhash.xxh3_128_digest(g, seed)) if wide else (lambda g: xxhash.xxh64_digest(g, seed))
+    counts, n, seen = np.zeros(8 * width, np.int64), 0, []
+    for at in range(0, max(1, len(words) - shingle + 1), 1 << 15):
+        hashes = np.frombuffer(shingle_hashes(words[at : at + (1 << 15) + shingle - 1], shingle, digest), np.uint8).reshape(-1, width)
+        if wide:
+            seen.append(hashes)
+        else:
+            counts += np.unpackbits(hashes, axis=1).sum(0, dtype=np.int64)
+            n += len(hashes)
+    if wide:
+        firsts = np.concatenate(seen)
+        firsts = firsts[np.unique(firsts.view(">u8")[:, 0], return_index=True)[1]]
+        n = len(firsts)
+        for at in range(0, n, 1 << 15):
+            counts += np.unpackbits(firsts[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > n).tobytes(), n
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """id, fp (the fingerprint, big-endian) and n (its hashes) of every row: one map, no shuffle."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = [fingerprint(t.as_py(), shingle, seed, wide) for t in batch.column(1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["id", "fp", "n"])
 
         return each
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "id long, fp long")
+    return map_batches(picked, make, "id long, fp binary, n long")
 
 
-def quarter_counts(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for q in range(QUARTERS)]
+def count_cell() -> list[Column]:
+    """The population count of a 64-bit fingerprint."""
+    return [F.lit(0).cast("int") + sum(F.bit_count(F.conv(F.hex(F.expr(f"substring(fp, {at}, 4)")), 16, 10).cast("long")).cast("int") for at in (1, 5))]
 
 
-def tile_code(counts: list) -> Column:
-    code = counts[0]
-    for c in counts[1:]:
-        code = code * 17 + c
-    return code
+def size_cell(similarity: float = SIMILARITY) -> list[Column]:
+    """The band of a set's size: sets of the similarity are in the same band or the next."""
+    return [F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("int")]
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,52 +124,98 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links_within(left: np.ndarray, right: np.ndarray, radius: int, step: int = 1 << 21):
-    """Pairs of different fingerprints, one of either side, that differ in at most ``radius`` bits; by parts."""
+def tiles(fps: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of fingerprints (rows of bytes) by tile, the tiles (quarters' counts by ``step``) and where each begins, then the end."""
+    counts = np.bitwise_count(fps).reshape(len(fps), 4, -1).sum(2, dtype=np.int64) // step
+    found, which = np.unique(counts, axis=0, return_inverse=True)
+    by = np.argsort(which.ravel(), kind="stable")
+    return by, found, np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(found)))])
+
+
+def links_within(left: np.ndarray, right: np.ndarray, radius: int, step: int = 1 << 19):
+    """Places of pairs, one of either side, that differ in at most ``radius`` bits; by parts. Rows are 64-bit words."""
     rows = max(1, step // max(1, len(right)))
     for lo in range(0, len(left), rows):
         for at in range(0, len(right), step):
             part, other = left[lo : lo + rows], right[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, :]) <= radius)
-            a, b = part[i], other[j]
-            if (keep := a != b).any():
-                yield a[keep], b[keep]
-
-
-def tile_links(blocks: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """Links u-v between all blocks whose tiles' counts differ by the radius at most, as a forest of each batch."""
-    steps = [s for s in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, s)) <= radius and s <= (0,) * QUARTERS]
-    moved = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps])).alias("step")
-    inside, there = F.lit(True), []
-    for q in range(QUARTERS):
-        c = F.col("counts")[q] + F.col("step")[q]
-        inside, there = inside & c.between(0, 16), [*there, c]
-    right = blocks.select("counts", F.col("tile").alias("right_tile"), F.col("block").alias("right_block"), F.col("fps").alias("right"), moved).where(inside)
-    right = right.select(tile_code(there).alias("tile"), "right_tile", "right_block", "right").join(F.broadcast(sizes), "tile")
-    last = F.when(F.col("tile") == F.col("right_tile"), F.col("right_block")).otherwise(F.col("blocks") - 1)
-    right = right.select("tile", F.explode(F.sequence(F.lit(0), last)).alias("block"), "right")
-    pairs = blocks.select("tile", "block", F.col("fps").alias("left")).join(right, ["tile", "block"]).select("tile", "block", "left", "right")
-
-    def find(batches):
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            u, v, held = [], [], 0
-            for a, b in zip(cuts, cuts[1:], strict=False):  # rows of the same left block are compared at once
-                left = np.asarray(batch.column(2)[a].values).view(np.uint64)
-                right_fps = np.asarray(batch.column(3).slice(a, b - a).flatten()).view(np.uint64)
-                for x, y in links_within(left, right_fps, radius):
-                    u.append(x.view(np.int64))
-                    v.append(y.view(np.int64))
-                    held += len(x)
-                    if held > 1 << 20:
-                        x, y = forest(np.concatenate(u), np.concatenate(v))
-                        u, v, held = [x], [y], 0
-            if u:
+            bits = np.bitwise_count(part[:, 0, None] ^ other[None, :, 0])
+            for w in range(1, left.shape[1]):
+                bits += np.bitwise_count(part[:, w, None] ^ other[None, :, w])
+            i, j = np.divmod(np.flatnonzero(bits.ravel() <= radius), len(other))
+            if len(i):
+                yield i + lo, j + at
+
+
+def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in left, then right) of the links between two blocks, or in one, of rows of bytes; tile by tile."""
+    both = left if right is None else np.concatenate([left, right])
+    wide = np.ascontiguousarray(both).view(np.uint64)
+    step = 1 if both.shape[1] == 8 else 16
+    (by, kinds, cuts), base = tiles(left, step), 0 if right is None else len(left)
+    r_by, r_kinds, r_cuts = (by, kinds, cuts) if right is None else tiles(right, step)
+    l_words, r_words = wide[by], wide[r_by + base]
+    u, v, held = [], [], 0
+    for t, kind in enumerate(kinds):
+        apart = np.abs(r_kinds - kind)
+        near = (apart.sum(1) if step == 1 else np.where(apart > 0, (apart - 1) * step + 1, 0).sum(1)) <= radius
+        if right is None:
+            near[:t] = False
+        near = np.flatnonzero(near)
+        if not len(near):
+            continue
+        at = np.concatenate([np.arange(r_cuts[k], r_cuts[k + 1]) for k in near])
+        for i, j in links_within(l_words[cuts[t] : cuts[t + 1]], r_words[at], radius):
+            u.append(by[cuts[t] + i])
+            v.append(r_by[at[j]] + base)
+            held += len(i)
+            if held > 1 << 20:
                 x, y = forest(np.concatenate(u), np.concatenate(v))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["u", "v"])
-
-    return pairs.mapInArrow(find, "u long, v long")
+                u, v, held = [x], [y], 0
+    return forest(np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def block_size(n: int) -> int:
+    """Fingerprints of a block: so many that blocks meet about as many others as they hold tens of fingerprints."""
+    return int(min(1 << 17, max(4096, 64 * n**0.5)))
+
+
+def cell_links(nodes: DataFrame, cell: Sequence[Column], reach: int, radius: int, block: int | None = None) -> DataFrame:
+    """Links u-v between written distinct fingerprints (fp, n) of cells that differ by ``reach`` at most in all, as a forest of each group."""
+    spark = nodes.sparkSession
+    celled = nodes.select("fp", F.array(*cell).alias("cell"))
+    sizes = [(tuple(r[0]), r[1]) for r in celled.groupBy("cell").agg(F.count("*")).collect()]
+    block = block or block_size(sum(n for _, n in sizes))
+    parts = {c: -(-n // block) for c, n in sizes}
+    names = {c: i for i, c in enumerate(sorted(parts))}
+    meets = [(list(c), parts[c], names[c], names[d], parts[d]) for c in names for d in names if sum(abs(x - y) for x, y in zip(c, d, strict=True)) <= reach]
+    plan = spark.createDataFrame(meets, "cell array<int>, blocks int, own int, other int, theirs int")
+    mine = celled.join(F.broadcast(plan), "cell").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = mine.select("fp", "own", "mine", "other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("part"))
+    me, it = F.struct(F.col("own").alias("c"), F.col("mine").alias("b")), F.struct(F.col("other").alias("c"), F.col("part").alias("b"))
+    rows = met.select("fp", F.least(me, it).alias("low"), F.greatest(me, it).alias("high"), (me > it).alias("right"))
+
+    def find(group: pa.Table) -> pa.Table:
+        fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        side = group.column("right").to_numpy()
+        one = group.column("same")[0].as_py()
+        left, right = (fps, None) if one else (fps[~side], fps[side])
+        both = fps if one else np.concatenate([left, right])
+        u, v = block_links(left, right, radius) if len(left) and (one or len(right)) else (np.empty(0, np.int64),) * 2
+        raw = lambda at: pa.array([x.tobytes() for x in both[at]], pa.binary())
+        return pa.table({"u": raw(u), "v": raw(v)})
+
+    return rows.withColumn("same", F.col("low") == F.col("high")).groupBy("low", "high").applyInArrow(find, "u binary, v binary")
+
+
+def joined(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """``big`` (written, ``rows`` rows) with its row of ``small`` (written: the key, how many rows of ``big`` have it as ``crowd``, and more).
+
+    Keys of more than a hundred-thousandth of the rows, so a hundred thousand at most, are joined by broadcast.
+    """
+    much = F.col("crowd") > max(CROWD, rows // 100_000)
+    crowded = F.broadcast(small.where(much))
+    few = big.join(crowded.select(key), key, "left_anti").join(small.where(~much), key)
+    return big.join(crowded, key).unionByName(few).drop("crowd")
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -146,16 +225,15 @@ def stars(links: DataFrame) -> DataFrame:
     linked to the least of them all. The links stand written after each round, which ends when none changed.
     """
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = cut_lineage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut_lineage(small.select("e.u", "e.v").where("u <> v").distinct())
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("crowd")))
+        large = written(joined(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("crowd")))
+        small = joined(large, least, "u", 2 * before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
         after = state(edges)
         if after == before:
             break
@@ -163,50 +241,40 @@ def stars(links: DataFrame) -> DataFrame:
     return edges
 
 
-def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp and component_id, the smallest id reachable over links, of each fingerprint in the written rows (id, fp)."""
-    spark = rows.sparkSession
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    counts = F.array(*quarter_counts(F.col("fp")))
-    tiled = nodes.select("fp", counts.alias("counts")).withColumn("tile", tile_code([F.col("counts")[q] for q in range(QUARTERS)]))
-    known = [(r[0], -(-r[1] // BLOCK)) for r in tiled.groupBy("tile").agg(F.count("*")).collect()]  # 17^4 at most
-    sizes = spark.createDataFrame(known, "tile int, blocks int")
-    blocks = tiled.join(F.broadcast(sizes), "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "counts", "fp")
-    blocks = cut_lineage(blocks.groupBy("tile", "block").agg(F.first("counts").alias("counts"), F.collect_list("fp").alias("fps")))
-    links = stars(tile_links(blocks, sizes, radius)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(links, "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut_lineage(rooted.join(first, "root").select("fp", "component_id"))
+def components(rows: DataFrame, radius: int = RADIUS, cell: Sequence[Column] | None = None, reach: int | None = None, block: int | None = None) -> DataFrame:
+    """fp, component_id (the smallest id reachable over links) and crowd (rows) of each fingerprint in the written rows (id, fp, n)."""
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("crowd")))
+    links = stars(cell_links(nodes, cell or count_cell(), radius if reach is None else reach, radius, block)).withColumnRenamed("u", "fp")
+    rooted = written(nodes.join(links, "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"), F.col("crowd").alias("rows")))
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("crowd")))
+    return written(joined(rooted, first, "root", rooted.count()).select("fp", "component_id", F.col("rows").alias("crowd")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """id, fp and component_id, the smallest id reachable over links, of every row."""
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
-    return rows.join(components(rows, radius), "fp", "left").select("id", "fp", "component_id")
+    rows = written(fingerprints(docs, id_col, text_col, shingle, seed))
+    return joined(rows, components(rows, radius), "fp", rows.count()).select("id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row of each component, in the columns of ``docs``: that of the smallest id, of rows with equal ids the first in scan order.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SET_RADIUS, shingle: int = SET_SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each component of similar shingle sets, in the columns of ``docs``: that of the smallest id, of rows with equal ids the first in scan order.
 
-    A null id stands after all others, so that a group of rows without ids keeps one.
+    A null id stands after all others, so that a group of rows without ids keeps one. Who stays is told by a bitmap of
+    rows, a bit a row, so that no text is shuffled.
     """
     names = docs.columns
-    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"))
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found.view(np.int64))], ["row", "id", "doc", "fp"])
-
-        return each
-
-    whole = written(map_batches(packed, make, f"row long, id long, doc {packed.schema['doc'].dataType.simpleString()}, fp long"))
-    rows = whole.select(F.col("row").alias("id"), "fp")
-    grouped = whole.select("row", "id", "fp").join(components(rows, radius), "fp")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
-    kept = whole.join(first.select("row"), "row", "left_semi")
-    return kept.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(names)])
+    whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("doc")))
+    own = {c: F.col(f"doc.c{i}") for i, c in enumerate(names)}
+    ids = whole.select("row", own[id_col].cast("long").alias("id"))
+    rows = written(fingerprints(whole.select("row", own[text_col].alias("text")), "row", "text", shingle, seed, wide=True))
+    grouped = joined(rows, components(rows, radius, size_cell(), 1), "fp", rows.count()).select(F.col("id").alias("row"), "component_id")
+    first = grouped.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    bits = written(first.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits")))
+    bits = F.broadcast(bits) if bits.count() * 4096 <= BITMAP_BYTES else bits
+    met = whole.withColumn("bucket", F.bitmap_bucket_number("row")).withColumn("bit", F.bitmap_bit_position("row")).join(bits, "bucket")
+    kept = met.where("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 + 1 as int), 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return kept.select(*[own[c].alias(c) for c in names])
 
 
 def fingerprint_hex(fp: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+    return F.lower(F.hex(fp))
