@@ -1,16 +1,18 @@
 """Packing of documents into token windows by Karmarkar-Karp multiway differencing.
 
-A document's ids, with the end id after them, are cut into pieces: as many full windows as it holds,
-alone, and the rest in even parts of ``part`` ids at most. The parts of a group of documents (an
-Arrow batch, at most ``group`` documents) are dealt to k windows by multiway differencing: every part
-begins as a partial partition of its own; the two of largest imbalance merge, the fullest window of one
-with the emptiest of the other, until one is left. k begins at the total over the capacity, rounded
-up, and rises by one whenever a window exceeds the capacity. The last piece of windows that a power
-of two would fill without padding needs none; all others are padded to the capacity.
-
-Ids are made once for each distinct word that a worker meets: the vocabulary's normaliser and
-pre-tokeniser never look across white space, so a text's ids are its words' ids in order. The
-words that a worker keeps are bounded (``KEPT_WORDS``); others are encoded again with each batch.
+A document's ids, with the end id after them, are as many full windows as it holds, alone, and a rest. The
+rests of a group of documents (an Arrow batch, at most ``group`` documents and ``GROUP_BYTES`` of text) are dealt whole to k windows
+by multiway differencing: every rest begins as a partial partition of its own; the two of largest
+imbalance merge, the fullest window of one with the emptiest of the other, until one is left. k begins at
+the total over the capacity, rounded up, and rises by one whenever a window exceeds the capacity, as long as
+the padding stays within ``PADDING`` of the tokens. Only then is anything cut: what stands over the capacity of a window, of
+its longest rest, goes to the windows with room, and is cut again only where no window holds it whole.
+All windows are padded to the capacity but those that end at a power of two.
+
+Ids are made once for each distinct word that a worker meets, if the vocabulary marks the ends of words, so that
+its normaliser and pre-tokeniser never look across white space and a text's ids are its words' ids in order; with any
+other vocabulary texts are encoded whole. The words that a worker keeps are bounded (``KEPT_WORDS``); others are
+encoded again with each batch. The vocabulary file is found where it is opened, on the executors.
 
 Cases: a null or empty text is the end id alone; texts of any length are packed whole; repeated rows
 are packed each for itself; null ids stay null; further columns are not read; an empty table gives
@@ -19,6 +21,7 @@ an empty result. Sequence ids are unique across tasks, and the same again when a
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import re
@@ -32,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
-WINDOW, PART, GROUP, END_ID, VOCABULARY, KEPT_WORDS = 4096, 512, 2048, 2, "word_bpe_49k.json", 700_000
+WINDOW, GROUP, GROUP_BYTES, PADDING, END_ID, VOCABULARY, KEPT_WORDS = 4096, 2048, 64 << 20, 0.002, 2, "word_bpe_49k.json", 700_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -60,6 +63,7 @@ class WordIds:
     def __init__(self, path: str, keep: int = KEPT_WORDS):
         self.path, self.keep, self.known = path, keep, {}
         suffix = json.loads(Path(path).read_text())["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix)
         vocabulary = tokenizer(path).get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         if suffix:
@@ -104,6 +108,8 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; words part at ASCII white space. A known word is looked up once."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [utf8(t).split() for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
         gaps = [i for i, ids in enumerate(found) if None in ids]
@@ -182,14 +188,48 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window[:n], sums
 
 
-def deal(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Window of each size and the number of windows; it rises whenever one exceeds the capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+def deal(sizes: np.ndarray, capacity: int, padding: float = PADDING) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Parts of the sizes (which size, its length, its window), those of one size in order, and the number of windows.
+
+    The number rises while a window exceeds the capacity and the padding stays within its share; then what doesn't fit is cut.
+    """
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         window, sums = difference(sizes, k)
         if sums.max() <= capacity:
-            return window, len(sums)
+            return np.arange(len(sizes)), sizes, window, len(sums)
+        if (k + 1) * capacity - total > padding * total:
+            break
         k += 1
+    room = [capacity - int(s) for s in sums] + [capacity] * (k - len(sums))
+    length, loose, moved = sizes.astype(np.int64).copy(), [], []
+    by = np.lexsort((-sizes, window))
+    first = np.searchsorted(window[by], np.arange(len(sums)))
+    for w in np.flatnonzero(sums > capacity):
+        for i in by[first[w] :]:  # from its longest on
+            over = min(-room[w], int(length[i]))
+            length[i] -= over
+            room[w] += over
+            loose.append((over, int(i)))
+            if room[w] >= 0:
+                break
+    holes = sorted((r, w) for w, r in enumerate(room) if r > 0)
+    loose.sort()
+    while loose:
+        size, i = loose.pop()
+        at = bisect.bisect_left(holes, (size, -1))
+        hole, w = holes.pop(min(at, len(holes) - 1))
+        part = min(size, hole)
+        moved.append((i, part, w))
+        if hole > part:
+            bisect.insort(holes, (hole - part, w))
+        if size > part:
+            bisect.insort(loose, (size - part, i))
+    stays = np.flatnonzero(length > 0)
+    more = np.array(moved, np.int64).reshape(-1, 3)
+    which = np.concatenate([stays, more[:, 0]])
+    return which, np.concatenate([length[stays], more[:, 1]]), np.concatenate([window[stays], more[:, 2]]), len(room)
 
 
 @dataclass(frozen=True)
@@ -203,57 +243,43 @@ class Pieces:
     offset: np.ndarray
 
 
-def pack(lengths: np.ndarray, window: int = WINDOW, part: int = PART) -> Pieces:
+def pack(lengths: np.ndarray, window: int = WINDOW) -> Pieces:
     """Cut and pack documents of these lengths (1 or more each)."""
     full = lengths // window
     doc_f = np.repeat(np.arange(len(lengths)), full)
     start_f = ranges(np.zeros_like(full), full) * window
     rest = lengths - full * window
-    whole = (rest & (rest - 1)) == 0  # empty, or a power of two that needs no padding
-    alone = np.flatnonzero(whole & (rest >= part))
-    open_ = np.flatnonzero((rest > 0) & ~(whole & (rest >= part)))
-    n_parts = -(-rest[open_] // part)
-    doc_p = np.repeat(open_, n_parts)
-    nth = ranges(np.zeros_like(n_parts), n_parts)
-    size, more = rest[doc_p] // np.repeat(n_parts, n_parts), rest[doc_p] % np.repeat(n_parts, n_parts)
-    length_p = size + (nth < more)
-    start_p = full[doc_p] * window + nth * size + np.minimum(nth, more)
-    if len(doc_p):
-        seq_p, k = deal(length_p, window)
-    else:
-        seq_p, k = np.empty(0, np.int64), 0
-    by = np.lexsort((start_p, doc_p, seq_p))
-    doc_p, start_p, length_p, seq_p = doc_p[by], start_p[by], length_p[by], seq_p[by]
-    if len(by):  # parts of one document that meet again are one piece
-        joined = np.concatenate([[False], (seq_p[1:] == seq_p[:-1]) & (doc_p[1:] == doc_p[:-1]) & (start_p[1:] == start_p[:-1] + length_p[:-1])])
-        heads = np.flatnonzero(~joined)
-        length_p = np.add.reduceat(length_p, heads)
-        doc_p, start_p, seq_p = doc_p[heads], start_p[heads], seq_p[heads]
+    open_ = np.flatnonzero(rest)
+    if len(open_):
+        which, length_p, seq_p, k = deal(rest[open_], window)
+        by = np.argsort(which, kind="stable")
+        which, length_p, seq_p = which[by], length_p[by], seq_p[by]
+        before = np.cumsum(length_p) - length_p
+        first = np.searchsorted(which, which)
+        doc_p, start_p = open_[which], full[open_[which]] * window + before - before[first]
+        by = np.lexsort((start_p, doc_p, seq_p))
+        doc_p, start_p, length_p, seq_p = doc_p[by], start_p[by], length_p[by], seq_p[by]
         before = np.cumsum(length_p) - length_p
-        first = np.concatenate([[True], seq_p[1:] != seq_p[:-1]])
-        offset_p = before - np.repeat(before[first], np.diff([*np.flatnonzero(first), len(seq_p)]))
+        offset_p = before - before[np.searchsorted(seq_p, seq_p)]
     else:
-        offset_p = np.empty(0, np.int64)
-    lone = np.concatenate([doc_f, alone])
+        doc_p, start_p, length_p, seq_p, offset_p, k = (*(np.empty(0, np.int64) for _ in range(5)), 0)
+    zeros = np.zeros(len(doc_f), np.int64)
     return Pieces(
-        np.concatenate([doc_p, lone]), np.concatenate([start_p, start_f, full[alone] * window]),
-        np.concatenate([length_p, np.full(len(doc_f), window, np.int64), rest[alone]]),
-        np.concatenate([seq_p, k + np.arange(len(lone))]), np.concatenate([offset_p, np.zeros(len(lone), np.int64)]),
+        np.concatenate([doc_p, doc_f]), np.concatenate([start_p, start_f]), np.concatenate([length_p, zeros + window]),
+        np.concatenate([seq_p, k + np.arange(len(doc_f))]), np.concatenate([offset_p, zeros]),
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, part: int = PART, group: int = GROUP, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, group: int = GROUP, end_id: int = END_ID) -> DataFrame:
     """A row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset. One map, no shuffle."""
-    path = path or vocabulary_path()
 
     def run(batches):
-        encoder, made = word_ids(path), TaskContext.get().partitionId() << 36
+        encoder, made = word_ids(path or vocabulary_path()), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, group):
-                part_of = batch.slice(at, group)
+            for part_of in slices(batch, group, GROUP_BYTES):
                 ids, begins = token_ids(part_of.column(1), encoder, end_id)
                 lengths = np.diff(begins)
-                got = pack(lengths, window, part)
+                got = pack(lengths, window)
                 for i in range(0, len(got.doc), 4096):
                     s = slice(i, i + 4096)
                     doc, start, length = got.doc[s], got.start[s], got.length[s]
