@@ -1,7 +1,7 @@
 """Document log-likelihood by a gated recurrent language model over words.
 
 Tokens are the words of a text, A-Z lower-cased, and one end. Counts of all training tokens are taken
-over the whole corpus. The ``vocab`` most frequent tokens are the network's own words; every
+over the whole corpus. The ``VOCAB`` most frequent tokens are the network's own words; every
 other word stands for one of ``TAIL`` tail classes, named by its last two bytes. The output is factored:
 a softmax over classes (frequency classes of the own words, and the tail classes), then one
 over the words of a class; inside a tail class a word has (c + 1) / Z by its count c, with Z the sum of c + 1 over the
@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8, written
+from .common import slices, utf8, written
 
-HIDDEN, VOCAB, HEAD, CLASSES, TAIL = 32, 2000, 100_000, 64, 64
-WINDOW, STREAMS, RATE, WARM_ROWS, SEED = 24, 32, 4e-3, 800, 8
+HIDDEN, VOCAB, HEAD, CLASSES, TAIL = 16, 4000, 200_000, 32, 32
+WINDOW, STREAMS, CHUNK, RATE, WARM_ROWS, SEED = 16, 512, 400_000, 1e-2, 800, 8
+#: Bytes of text that are scored together; a longer text is alone.
+BYTES = 32 << 20
 END = b"\n"  # no word holds white space
 
 
@@ -46,36 +49,48 @@ def tail_class(word: bytes) -> int:
 
 @dataclass
 class Layout:
-    """The network's words by falling count, their classes (start of each; the words of one stand together) and tail masses."""
+    """The network's words by falling count, their classes (start of each; the words of one stand together) and tail masses.
+
+    ``places`` has the words of which more than the tail class is known, the network's own first; ``logs`` their log10(count + 1).
+    """
 
     words: list[bytes]
     starts: np.ndarray
     tail_mass: np.ndarray
-    ids: dict[bytes, int] = field(default_factory=dict)
+    places: dict[bytes, int] = field(default_factory=dict)
+    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @classmethod
-    def make(cls, words: list[bytes], counts: np.ndarray, tail_mass: np.ndarray) -> Layout:
-        """Classes of about equal shares of the roots of the counts."""
-        share = np.cumsum(np.sqrt(counts.astype(np.float64)))
-        cuts = np.searchsorted(share, np.arange(1, CLASSES) * (share[-1] / CLASSES)) if len(words) else []
-        starts = np.unique(np.concatenate([[0], np.asarray(cuts, np.int64) + 1, [len(words)]]))
-        return cls(words, starts[starts <= len(words)], tail_mass, {w: i for i, w in enumerate(words)})
+    def make(cls, words: list[bytes], counts: np.ndarray, tail_mass: np.ndarray, vocab: int = VOCAB) -> Layout:
+        """Of words by falling count the first ``vocab`` are the network's own, in classes of about equal shares of the roots of the counts."""
+        own = words[:vocab]
+        share = np.cumsum(np.sqrt(counts[:vocab].astype(np.float64)))
+        cuts = np.searchsorted(share, np.arange(1, CLASSES) * (share[-1] / CLASSES)) if len(own) else []
+        starts = np.unique(np.concatenate([[0], np.asarray(cuts, np.int64) + 1, [len(own)]]))
+        return cls(own, starts[starts <= len(own)], tail_mass, {w: i for i, w in enumerate(words)}, np.log10(counts + 1.0))
+
+    def __post_init__(self) -> None:
+        n = len(self.words)
+        self._net = np.array([i if i < n else n + tail_class(w) for i, w in enumerate(self.places)] + [0], np.int32)
+        self._classes = np.concatenate([np.repeat(np.arange(self.classes), np.diff(self.starts)), self.classes + np.arange(TAIL)]).astype(np.int32)
 
     @property
     def classes(self) -> int:
         return len(self.starts) - 1
 
-    def encode(self, toks: list[bytes]) -> list[int]:
-        """Own words by place; a tail word as ``len(words)`` and its class."""
-        n, get = len(self.words), self.ids.get
-        out = list(map(get, toks))
-        if None in out:
-            out = [n + tail_class(w) if i is None else i for w, i in zip(toks, out, strict=True)]
-        return out
+    def find(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of tokens (-1: unknown), which are unknown, and the network's ids: own words by place, others as ``len(words)`` and their class."""
+        at = np.fromiter(map(self.places.get, toks, repeat(-1)), np.int32, len(toks))
+        ids, rest = self._net[at], np.flatnonzero(at < 0)
+        if len(rest):
+            ids[rest] = [len(self.words) + tail_class(toks[i]) for i in rest.tolist()]
+        return at, rest, ids
+
+    def encode(self, toks: list[bytes]) -> np.ndarray:
+        return self.find(toks)[2]
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        own = np.searchsorted(self.starts, ids, "right") - 1
-        return np.where(ids < len(self.words), own, self.classes + ids - len(self.words))
+        return self._classes[ids]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,12 +100,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _shares(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row of ``x``, which is used up."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of an output (a row of weights a class or word) overflows; states are within -1 and 1."""
+    return float((np.abs(weights).sum(1) + np.abs(bias)).max(initial=0)) < 80
+
+
+def _exps(z: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of ``z``, which is used up, and their sum in each row; scaled by the row's greatest unless ``safe``."""
+    if not safe:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 class Network:
@@ -101,7 +121,7 @@ class Network:
     def __init__(self, layout: Layout, hidden: int = HIDDEN, seed: int = SEED):
         rng, n, k = np.random.default_rng(seed), len(layout.words) + TAIL, layout.classes + TAIL
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.h = hidden
+        self.h, self.moments, self.steps = hidden, None, 0
         self.p = {"E": draw(n, hidden) * np.float32(np.sqrt(n) * 0.3), "W": draw(hidden, 3 * hidden), "U": draw(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "C": draw(hidden, k), "c": np.zeros(k, np.float32), "V": draw(max(1, len(layout.words)), hidden), "v": np.zeros(max(1, len(layout.words)), np.float32)}
 
     def flat(self) -> np.ndarray:
@@ -115,40 +135,49 @@ class Network:
             at += n
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """New state from projected input (with bias) and state: with reset, update and candidate."""
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """New state from projected input (with bias) and state; columns are documents, so that gates are contiguous."""
         n = self.h
-        u = h @ self.p["U"]
-        gates = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-        r, z = gates[:, :n], gates[:, n:]
-        cand = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        return cand + z * (h - cand), r, z, cand
+        u = self.p["U"].T @ h
+        gates = u[: 2 * n]
+        gates += x[: 2 * n]
+        _sigmoid(gates)
+        cand = u[2 * n :]
+        cand *= gates[:n]
+        cand += x[2 * n :]
+        np.tanh(cand, out=cand)
+        new = h - cand
+        new *= gates[n:]
+        new += cand
+        return new
 
 
 def by_class(layout: Layout, ids: np.ndarray, classes: np.ndarray):
-    """(class, first word, last word, places) of own words, class by class."""
+    """(first word, last word, places) of own words, class by class."""
     own = np.flatnonzero(ids < len(layout.words))
-    own = own[np.argsort(classes[own], kind="stable")]
+    own = own[np.argsort(classes[own].astype(np.int16), kind="stable")]
     kinds, first = np.unique(classes[own], return_index=True)
     for k, places in zip(kinds, np.split(own, first[1:]), strict=True) if len(own) else ():
-        yield int(k), int(layout.starts[k]), int(layout.starts[k + 1]), places
+        yield int(layout.starts[k]), int(layout.starts[k + 1]), places
 
 
 def train(net: Network, layout: Layout, ids: np.ndarray, rate: float = RATE, streams: int = STREAMS, window: int = WINDOW) -> int:
-    """One pass of truncated backpropagation over a sequence of ids, as parallel streams; the tokens learned from."""
-    end = layout.ids.get(END, 0)
+    """One pass of truncated backpropagation over a sequence of ids, as parallel streams; the tokens learned from. The network keeps the optimiser's moments."""
+    end = layout.places.get(END, 0)
     streams = max(1, min(streams, len(ids) // window))
     n = len(ids) // streams
     if n < 1:
         return 0
     x = ids[: n * streams].reshape(streams, n)
-    x = np.concatenate([np.full((streams, 1), end), x], 1)
-    state, t = np.zeros((streams, net.h), np.float32), 0
-    m, v, spare = ({k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(3))
+    x = np.concatenate([np.full((streams, 1), end, x.dtype), x], 1)
+    state = np.zeros((streams, net.h), np.float32)
+    net.moments = net.moments or [{k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(3)]
+    m, v, spare = net.moments
     for at in range(0, n, window):
         part = x[:, at : at + window + 1]
         state, grads = backward(net, layout, part[:, :-1], part[:, 1:], state)
-        t += 1
+        net.steps += 1
+        t = net.steps
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         step = rate * min(1.0, t / 20) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -168,123 +197,111 @@ def backward(net: Network, layout: Layout, inputs: np.ndarray, goals: np.ndarray
     """The state after a window and the gradients of its mean loss; the state before is a constant."""
     p, n = net.p, net.h
     b, steps = inputs.shape
-    x = p["E"][inputs.T]  # (t, b, h)
-    proj = (x.reshape(-1, n) @ p["W"] + p["b"]).reshape(steps, b, 3 * n)
-    hs, gates, cands, uns = (np.empty((steps + 1, b, n), np.float32), np.empty((steps, b, 2 * n), np.float32), *np.empty((2, steps, b, n), np.float32))
-    hs[0] = state
+    x = p["E"][inputs.T]  # (steps, streams, n); in the recurrence columns are streams, so that gates are contiguous
+    proj = np.matmul(p["W"].T, x.transpose(0, 2, 1))
+    proj += p["b"][:, None]
+    kind, forth = p["U"].dtype, np.ascontiguousarray(p["U"].T)
+    hs, gates, (cands, uns) = np.empty((steps + 1, n, b), kind), np.empty((steps, 2 * n, b), kind), np.empty((2, steps, n, b), kind)
+    hs[0] = state.T
     for t in range(steps):
-        u = hs[t] @ p["U"]
-        u[:, : 2 * n] += proj[t, :, : 2 * n]
-        gates[t] = _sigmoid(u[:, : 2 * n])
-        uns[t] = u[:, 2 * n :]
-        cand = np.multiply(gates[t, :, :n], uns[t], out=cands[t])
-        cand += proj[t, :, 2 * n :]
+        u = forth @ hs[t]
+        _sigmoid(np.add(u[: 2 * n], proj[t, : 2 * n], out=gates[t]))
+        uns[t] = u[2 * n :]
+        cand = np.multiply(gates[t, :n], uns[t], out=cands[t])
+        cand += proj[t, 2 * n :]
         np.tanh(cand, out=cand)
         new = np.subtract(hs[t], cand, out=hs[t + 1])
-        new *= gates[t, :, n:]
+        new *= gates[t, n:]
         new += cand
-    out = hs[1:].reshape(-1, n)
-    ids, total = goals.T.reshape(-1), np.float32(goals.size)
+    out = hs[1:].transpose(0, 2, 1).reshape(-1, n)
+    ids, share = goals.T.reshape(-1), p["C"].dtype.type(1 / goals.size)
     classes = layout.class_of(ids)
-    d = _shares(out @ p["C"] + p["c"])
-    d[np.arange(len(ids)), classes] -= 1
-    d /= total
-    g = {"C": out.T @ d, "c": d.sum(0), "V": np.zeros_like(p["V"]), "v": np.zeros_like(p["v"])}
+    d = out @ p["C"]
+    d += p["c"]
+    d, sums = _exps(d, _safe(p["C"].T, p["c"]))
+    d *= (share / sums)[:, None]
+    d[np.arange(len(ids)), classes] -= share
+    g = {"C": out.T @ d, "c": np.ones(len(d), d.dtype) @ d, "V": np.zeros_like(p["V"]), "v": np.zeros_like(p["v"])}
     dh = d @ p["C"].T
-    own = np.flatnonzero(ids < len(layout.words))
-    own = own[np.argsort(classes[own], kind="stable")]
-    if len(own):
-        g["V"], g["v"], dh[own] = word_gradients(net, layout, out[own], ids[own], classes[own], total, dh[own])
-    dh = dh.reshape(steps, b, n)
-    r, z = gates[:, :, :n], gates[:, :, n:]
+    safe = _safe(p["V"], p["v"])
+    for lo, hi, at in by_class(layout, ids, classes):
+        states, words = out[at], p["V"][lo:hi]
+        d = states @ words.T
+        d += p["v"][lo:hi]
+        d, sums = _exps(d, safe)
+        d *= (share / sums)[:, None]
+        d[np.arange(len(at)), ids[at] - lo] -= share
+        g["V"][lo:hi], g["v"][lo:hi] = d.T @ states, np.ones(len(d), d.dtype) @ d
+        dh[at] += d @ words
+    dh = np.ascontiguousarray(dh.reshape(steps, b, n).transpose(0, 2, 1))
+    r, z = gates[:, :n], gates[:, n:]
     by_cand = (1 - z) * (1 - cands * cands)  # the new state by the candidate, the update and the reset
     by_update = (hs[:-1] - cands) * z * (1 - z)
     by_reset = by_cand * uns * r * (1 - r)
-    into, carry, back = np.empty((steps, b, 3 * n), np.float32), np.zeros((b, n), np.float32), np.ascontiguousarray(p["U"].T)
+    into, carry = np.empty((steps, 3 * n, b), kind), np.zeros((n, b), kind)
     for t in range(steps - 1, -1, -1):
         dn = dh[t]
         dn += carry
-        np.multiply(dn, by_reset[t], out=into[t, :, :n])
-        np.multiply(dn, by_update[t], out=into[t, :, n : 2 * n])
+        np.multiply(dn, by_reset[t], out=into[t, :n])
+        np.multiply(dn, by_update[t], out=into[t, n : 2 * n])
         dcand = np.multiply(dn, by_cand[t], out=by_cand[t])
-        np.multiply(dcand, r[t], out=into[t, :, 2 * n :])  # at the recurrent side
-        carry = into[t] @ back
+        np.multiply(dcand, r[t], out=into[t, 2 * n :])  # at the recurrent side
+        carry = p["U"] @ into[t]
         carry += np.multiply(dn, z[t], out=dn)
-    flat = into.reshape(-1, 3 * n)
-    g["U"] = hs[:-1].reshape(-1, n).T @ flat
-    flat[:, 2 * n :] = by_cand.reshape(-1, n)
-    g |= {"W": x.reshape(-1, n).T @ flat, "b": flat.sum(0), "E": np.zeros_like(p["E"])}
-    np.add.at(g["E"], inputs.T.reshape(-1), flat @ p["W"].T)
-    return hs[-1].copy(), g
-
-
-def word_gradients(net: Network, layout: Layout, states: np.ndarray, ids: np.ndarray, classes: np.ndarray, total: np.float32, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of V and v by own words in class order, and ``down`` with those of the states added; all classes' shares stand in one ragged array."""
-    both = np.concatenate([net.p["V"], net.p["v"][:, None]], 1)
-    states = np.concatenate([states, np.ones((len(states), 1), np.float32)], 1)
-    kinds, first = np.unique(classes, return_index=True)
-    cuts, lows, highs = [*first.tolist(), len(ids)], layout.starts[kinds], layout.starts[kinds + 1]
-    widths = np.repeat(highs - lows, np.diff(cuts))
-    rows = np.concatenate([[0], np.cumsum(widths)])
-    e, grads = np.empty(rows[-1], np.float32), np.zeros_like(both)
-    parts = [(a, b, lo, hi, e[rows[a] : rows[b]].reshape(b - a, hi - lo)) for a, b, lo, hi in zip(cuts, cuts[1:], lows.tolist(), highs.tolist(), strict=False)]
-    for a, b, lo, hi, z in parts:
-        np.matmul(states[a:b], both[lo:hi].T, out=z)
-    e -= np.repeat(np.maximum.reduceat(e, rows[:-1]), widths)
-    np.exp(e, out=e)
-    e /= np.repeat(np.add.reduceat(e, rows[:-1]), widths)
-    e[rows[:-1] + ids - np.repeat(lows, np.diff(cuts))] -= 1
-    e /= total
-    for a, b, lo, hi, z in parts:
-        np.matmul(z.T, states[a:b], out=grads[lo:hi])
-        down[a:b] += z @ net.p["V"][lo:hi]
-    return grads[:, :-1], grads[:, -1], down
+    g["U"] = np.matmul(hs[:-1], into.transpose(0, 2, 1)).sum(0)
+    into[:, 2 * n :] = by_cand
+    given, by_input = inputs.T.reshape(-1), np.matmul(p["W"], into)
+    g |= {"W": np.matmul(x.transpose(0, 2, 1), into.transpose(0, 2, 1)).sum(0), "b": into.sum((0, 2))}
+    g["E"] = np.stack([np.bincount(given, by_input[:, k].ravel(), len(p["E"])) for k in range(n)], 1).astype(kind)
+    return hs[-1].T.copy(), g
 
 
 def log_likelihoods(net: Network, layout: Layout, docs: list[np.ndarray], window: int = 32, together: int = 1024) -> np.ndarray:
     """Natural log-probability of each document's ids, a tail word counting by its class alone; documents of like length go together."""
-    out, order, end = np.zeros(len(docs)), np.argsort([-len(d) for d in docs], kind="stable"), layout.ids.get(END, 0)
-    table = net.p["E"] @ net.p["W"] + net.p["b"]
+    out, order, end = np.zeros(len(docs)), np.argsort([-len(d) for d in docs], kind="stable"), layout.places.get(END, 0)
+    table = np.ascontiguousarray((net.p["E"] @ net.p["W"] + net.p["b"]).T)
     for at in range(0, len(docs), together):
         group = order[at : at + together]
         lengths = np.array([len(docs[i]) for i in group])
         flat, begins = np.concatenate([docs[i] for i in group]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        h, before = np.zeros((len(group), net.h), np.float32), np.full(len(group), end)
+        h, before = np.zeros((net.h, len(group)), np.float32), np.full(len(group), end)
         for lo in range(0, int(lengths[0]), window):
             states, goals, rows = [], [], []
             for t in range(lo, min(lo + window, int(lengths[0]))):
                 live = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
-                h = net.step(table[before[:live]], h[:live])[0]
+                h = net.step(table.take(before[:live], 1), h[:, :live])
                 before = flat[begins[:live] + t]
                 states.append(h)
                 goals.append(before)
                 rows.append(group[:live])
             ids, row = np.concatenate(goals), np.concatenate(rows)
-            np.add.at(out, row, window_scores(net, layout, np.concatenate(states), ids))
+            out += np.bincount(row, window_scores(net, layout, np.ascontiguousarray(np.concatenate(states, 1).T), ids), len(docs))
     return out
 
 
 def _log_shares(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
-    """Log-softmax of each row of ``z``, which is used up, at one place; ``safe`` says that no exponential overflows."""
+    """Log-softmax of each row of ``z``, which is used up, at one place."""
     if not safe:
         z -= z.max(1, keepdims=True)
     own = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(_exps(z, True)[1])
 
 
 def window_scores(net: Network, layout: Layout, states: np.ndarray, ids: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Log-probability of each id after its state; by parts that stay in the processor's cache."""
     p, classes, got = net.p, layout.class_of(ids), np.empty(len(ids))
-    bound = lambda w, b: float((np.abs(w) + np.abs(b)[..., None] / w.shape[-1]).sum(-1).max()) < 80  # noqa: E731  states are within -1 and 1
-    safe = bound(p["C"].T, p["c"]) and bound(p["V"], p["v"])
+    safe = _safe(p["C"].T, p["c"]) and _safe(p["V"], p["v"])
     for at in range(0, len(ids), rows):
         part = slice(at, at + rows)
-        got[part] = _log_shares(states[part] @ p["C"] + p["c"], classes[part], safe)
-    for _, lo, hi, places in by_class(layout, ids, classes):
+        z = states[part] @ p["C"]
+        z += p["c"]
+        got[part] = _log_shares(z, classes[part], safe)
+    for lo, hi, places in by_class(layout, ids, classes):
         for at in range(0, len(places), rows) if hi - lo > 1 else ():
             part = places[at : at + rows]
-            got[part] += _log_shares(states[part] @ p["V"][lo:hi].T + p["v"][lo:hi], ids[part] - lo, safe)
+            z = states[part] @ p["V"][lo:hi].T
+            z += p["v"][lo:hi]
+            got[part] += _log_shares(z, ids[part] - lo, safe)
     return got
 
 
@@ -312,32 +329,33 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     """The counts of the most frequent words, ``most`` at most: those from the least count on that leaves no more.
 
     The count is read off a histogram of fixed size (each count under 1024, then 64 bins for each doubling), so
-    that no task sends more than belongs to the result.
+    that no task sends more than belongs to the result. Of a first bin that is too large itself, words are chosen by their hash.
     """
     n = F.col("n")
     step = F.when(n < 1024, n).otherwise(F.floor(F.log2(n) * 64) + 1024 - 640).cast("long")
-    cut, seen = 1, 0
+    cut, seen, share = None, 0, 1.0
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("m"), F.min("n").alias("from")).collect(), key=lambda r: -r["step"]):
-        seen += r["m"]
-        if seen > most:
+        if cut is not None and seen + r["m"] > most:
+            break
+        cut, share, seen = r["from"], min(1.0, 0.99 * most / r["m"]) if r["m"] > most else 1.0, seen + r["m"]
+        if share < 1:
             break
-        cut = r["from"]
-    else:
-        cut = 0
-    if not seen or (seen > most and cut == 1):
+    if cut is None:
         return {}
-    return {bytes(r["word"]): int(r["n"]) for r in counts.where(n >= cut).collect()}
+    chosen = counts.where(n >= cut)
+    chosen = chosen.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else chosen
+    return {bytes(r["word"]): int(r["n"]) for r in chosen.collect()}
 
 
 def averaged(parts: DataFrame, start: np.ndarray) -> tuple[np.ndarray, int]:
-    """The mean of the tasks' networks (piece, weight, values) by weight, the start where none learned; and the whole weight."""
+    """The mean of the tasks' networks (piece, lot, weight, values) by weight, the start where none learned; and the whole weight."""
 
     def total(table: pa.Table) -> pa.Table:
         w = np.asarray(table["weight"].combine_chunks(), np.float64)
         values = np.asarray(table["values"].combine_chunks().flatten(), np.float64).reshape(len(w), -1)
-        return pa.table({"piece": table["piece"][:1], "weight": pa.array([w.sum()]), "values": pa.array([(w @ values / max(w.sum(), 1e-9)).astype(np.float32)], pa.list_(pa.float32()))})
+        return pa.table({"piece": table["piece"][:1], "lot": table["lot"][:1], "weight": pa.array([w.sum()]), "values": pa.array([(w @ values / max(w.sum(), 1e-9)).astype(np.float32)], pa.list_(pa.float32()))})
 
-    shape = "piece int, weight double, values array<float>"
+    shape = "piece int, lot int, weight double, values array<float>"
     some = parts.groupBy("piece", "lot").applyInArrow(total, shape)  # in two steps, so that no group holds every task
     rows = some.groupBy("piece").applyInArrow(total, shape).collect()
     out = start.copy()
@@ -347,7 +365,8 @@ def averaged(parts: DataFrame, start: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(max((r["weight"] for r in rows), default=0))
 
 
-PIECE = 1 << 13
+#: Values of a piece of a network, and tasks whose networks are averaged together first.
+PIECE, LOT = 1 << 13, 256
 
 
 @dataclass
@@ -357,7 +376,6 @@ class Model:
     counts: DataFrame
     total: int
     distinct: int
-    head: dict[bytes, int]
     layout: Layout
     net: Network
     learned: int
@@ -371,41 +389,44 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     kind = F.crc32(F.substring("word", -2, 2)) % TAIL
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = frequent(counts, HEAD)
-    words = sorted(head, key=lambda w: (-head[w], w))[:VOCAB]
+    words = sorted(head, key=lambda w: (-head[w], w))
     mass = np.ones(TAIL)
     for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         mass[r["kind"]] += r["n"]
-    for w in words:
+    for w in words[:VOCAB]:
         mass[tail_class(w)] -= head[w] + 1
-    layout = Layout.make(words, np.array([head[w] for w in words]), mass)
+    layout = Layout.make(words, np.array([head[w] for w in words], np.int64), mass)
     net = Network(layout)
     drawn = F.pmod(F.xxhash64(F.lit("gru"), "id"), F.lit(1_000_000))
     n_rows = known.count()
     warm = known.where(drawn < int(min(1.0, warm_rows / max(n_rows, 1)) * 1_000_000) + 1).select("text").limit(2 * warm_rows).collect()
-    train(net, layout, np.array([i for r in warm for i in layout.encode(tokens(r[0]))], np.int64))
-    start = net.flat()
+    train(net, layout, np.concatenate([np.empty(0, np.int32), *(layout.encode(tokens(r[0])) for r in warm)]), streams=STREAMS // 8)
+    start, net.moments = net.flat(), None
     shared = spark.sparkContext.broadcast((layout, start))
 
     def refine(batches):
         layout, start = shared.value
-        net, learned, held = Network(layout).load(start), 0, []
+        net, learned, held, size = Network(layout).load(start), 0, [], 0
         for batch in batches:
             for text in batch.column(0):
-                held += layout.encode(tokens(text.as_py()))
-                if len(held) > 200_000:
-                    n = train(net, layout, np.array(held, np.int64), RATE / 4)
-                    learned, held = learned + n, held[n:]
-        while held:  # what the streams leave over is learned by fewer
-            n = train(net, layout, np.array(held, np.int64), RATE / 4)
-            learned, held = learned + n, held[n:]
+                held.append(layout.encode(tokens(text.as_py())))
+                size += len(held[-1])
+                if size > CHUNK:
+                    ids = np.concatenate(held)
+                    n = train(net, layout, ids, RATE / 2)
+                    learned, held, size = learned + n, [ids[n:]], len(ids) - n
+        while size:  # what the streams leave over is learned by fewer
+            ids = np.concatenate(held)
+            n = train(net, layout, ids, RATE / 2)
+            learned, held, size = learned + n, [ids[n:]], len(ids) - n
         if learned:
-            flat, lot = net.flat(), TaskContext.get().partitionId() % 64
+            flat, lot = net.flat(), TaskContext.get().partitionId() // LOT
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([lot] * len(pieces), pa.int32()), pa.array([float(learned)] * len(pieces)), pa.array(pieces, pa.list_(pa.float32()))], ["piece", "lot", "weight", "values"])
 
     flat, learned = averaged(known.select("text").mapInArrow(refine, "piece int, lot int, weight double, values array<float>"), start)
     net.load(flat)
-    return Model(counts, int(total), int(distinct), head, layout, net, learned)
+    return Model(counts, int(total), int(distinct), layout, net, learned)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,32 +434,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Counts of the ``HEAD`` most frequent tokens are broadcast; those of the others are joined.
     """
-    spark = docs.sparkSession
-    layout = model.layout
-    shared = spark.sparkContext.broadcast((layout, model.net, model.head))
+    shared = docs.sparkSession.sparkContext.broadcast((model.layout, model.net))
 
     def run(batches):
-        layout, net, head = shared.value
+        layout, net = shared.value
         n_own, task, row = len(layout.words), TaskContext.get().partitionId(), 0
         log_mass = np.log10(layout.tail_mass)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
+            for batch in slices(whole, 4096, BYTES):
                 ids, n_tokens, seen, base, tail_part, rest_words, rest_counts = [], [], [], [], [], [], []
                 for text in batch.column(1):
                     toks = tokens(text.as_py())
-                    at = np.array(layout.encode(toks), np.int64)
-                    ids.append(at)
+                    at, unknown, net_ids = layout.find(toks)
+                    ids.append(net_ids)
                     n_tokens.append(len(toks))
-                    found = list(map(head.get, toks))
-                    rest = Counter([w for w, c in zip(toks, found, strict=True) if c is None]) if None in found else {}
-                    c = np.array([x for x in found if x is not None], np.float64)
-                    logs = np.log10(c + 1)
-                    seen.append(len(c))
+                    rest = Counter([toks[i] for i in unknown.tolist()])
+                    known = at[at >= 0]
+                    logs, tail = layout.logs[known], net_ids[net_ids >= n_own] - n_own
+                    seen.append(len(known))
                     base.append(logs.sum())
-                    is_tail = at >= n_own
-                    known_tail = is_tail[np.array([x is not None for x in found])] if rest else is_tail
-                    tail_part.append(logs[known_tail].sum() - log_mass[at[is_tail] - n_own].sum())
+                    tail_part.append(logs[known >= n_own].sum() - log_mass[tail].sum())
                     rest_words.append(list(rest))
                     rest_counts.append(list(rest.values()))
                 own = log_likelihoods(net, layout, ids) / np.log(10) + np.array(tail_part)
