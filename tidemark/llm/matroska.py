@@ -3,7 +3,9 @@
 ``store_payloads`` writes each payload as one PCM track of a Matroska file: EBML header, segment
 info, tracks, clusters of laced simple blocks (Xiph, fixed-size and EBML lacing in turn) and cues.
 ``read_media`` and ``packet_table`` parse such files, or any other Matroska bytes with known or
-unknown element sizes, blocks and block groups, into packets with track, timestamp and byte range.
+unknown element sizes, blocks and block groups, into packets with track, timestamp, byte range and whether they are
+key frames (of a simple block by its flag, of a block in a group by the lack of a reference to another block). Parsing is one
+pass, and elements nest no deeper than the format lets them.
 
 Cases: a null payload or text counts as empty; a payload is padded with zero bytes up to a positive
 multiple of 64; equal payloads give equal bytes (no clock or random id is stored); null media has no
@@ -16,8 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ EBML, EBML_VERSION, EBML_READ, EBML_ID_LEN, EBML_SIZE_LEN, DOC_TYPE, DOC_VERSION
 SEGMENT, INFO, SCALE, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, DEFAULT_DURATION, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x23E383, 0x86
 AUDIO, FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
-_TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
+#: Elements that hold others which are read, by what they stand in.
+_MASTERS = {SEGMENT: None, INFO: SEGMENT, TRACKS: SEGMENT, TRACK: TRACKS, CLUSTER: SEGMENT, BLOCK_GROUP: CLUSTER, CUES: SEGMENT, CUE_POINT: CUES, CUE_POSITIONS: CUE_POINT}
+#: Ids that end an element of unknown size: those of the segment's children (seek head, attachments, chapters and tags too), and a new file's.
+_TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367, SEGMENT, EBML}
 
 #: 8 samples a millisecond, so that a payload's multiple of 64 bytes is whole milliseconds.
 RATE, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER, PAD = 8000, 512, 8, 16, 64
@@ -132,29 +135,6 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
     return (raw if keep_marker else value), at + n, value == (1 << 7 * n) - 1
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """Id, own start, body start and body end of each element; one of unknown size ends at the next top-level one."""
-    while at < end:
-        start = at
-        eid, at, _ = read_vint(data, at, keep_marker=True)
-        size, at, unknown = read_vint(data, at)
-        stop = at + size
-        if unknown:
-            stop = end if eid == SEGMENT else next((s for e, s in _unknown_ends(data, at, end) if e in _TOP), end)
-        if stop > end:
-            raise Truncated(start)
-        yield eid, start, at, stop
-        at = stop
-
-
-def _unknown_ends(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
-    try:
-        for eid, start, _, _ in elements(data, at, end):
-            yield eid, start
-    except Truncated:
-        return
-
-
 def number(data: bytes, a: int, b: int) -> int:
     return int.from_bytes(data[a:b])
 
@@ -173,13 +153,10 @@ def frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
             sizes.append(size + data[at])
             at += 1
     elif kind == 3:
-        size, at, _ = read_vint(data, at)
-        sizes.append(size)
-        for _ in range(n - 2):
+        for i in range(n - 1):  # a lace of one frame states no size
             before = at
             raw, at, _ = read_vint(data, at)
-            sizes.append(sizes[-1] + raw - (1 << 7 * (at - before) - 1) + 1)
-        sizes = sizes[: n - 1]
+            sizes.append(sizes[-1] + raw - (1 << 7 * (at - before) - 1) + 1 if i else raw)
     else:
         sizes = [(end - at) // n] * (n - 1)
     out = []
@@ -204,40 +181,61 @@ class Media:
 def demux(data: bytes) -> Media:
     """Parse a Matroska file."""
     out, durations, scale = Media([], []), {}, 1_000_000
-    state = {"base": 0, "time": 0, "cluster": 0, "track": [0, 0], "cue": [0, 0, 0]}
+    state = {"base": 0, "time": 0, "cluster": 0, "track": [0, 0], "cue": [0, 0, 0], "group": 0, "refers": False}
+
+    def block(a: int, b: int, key: bool | None) -> None:
+        track, p, _ = read_vint(data, a)
+        ticks, flags = struct.unpack_from(">hB", data, p)
+        kind, step = flags >> 1 & 3, durations.get(track, 0)
+        t = (state["time"] + ticks) * scale
+        out.packets.extend(Packet(track, t + i * step, o, n, state["cluster"], kind, bool(flags & 0x80) if key is None else key) for i, (o, n) in enumerate(frames(data, p + 3, b, kind)))
 
-    def walk(at: int, end: int) -> None:
+    def walk(at: int, end: int, parent: int | None, open_ended: bool) -> int:
+        """Read the children of an element up to its end, or one of unknown size to where the next element begins."""
         nonlocal scale
-        for eid, start, a, b in elements(data, at, end):
-            if eid in (SIMPLE_BLOCK, BLOCK):
-                track, p, _ = read_vint(data, a)
-                ticks, flags = struct.unpack_from(">hB", data, p)
-                kind, step = flags >> 1 & 3, durations.get(track, 0)
-                t = (state["time"] + ticks) * scale
-                out.packets.extend(Packet(track, t + i * step, o, n, state["cluster"], kind, bool(flags & 0x80)) for i, (o, n) in enumerate(frames(data, p + 3, b, kind)))
-            elif eid == SCALE:
-                scale = number(data, a, b)
-            elif eid == TIMESTAMP:
-                state["time"] = number(data, a, b)
-            elif eid in (TRACK_NUMBER, DEFAULT_DURATION):
-                state["track"][eid == DEFAULT_DURATION] = number(data, a, b)
-            elif eid in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                state["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(eid)] = number(data, a, b)
-            elif eid in _MASTERS:
+        while at < end:
+            start = at
+            eid, at, _ = read_vint(data, at, keep_marker=True)
+            if open_ended and parent is not None and parent != SEGMENT and eid in _TOP:
+                return start
+            size, at, unknown = read_vint(data, at)
+            stop = end if unknown else at + size
+            nests = _MASTERS.get(eid, eid) == parent
+            if stop > end or (unknown and not nests):
+                raise Truncated(start)
+            if nests:
                 if eid == SEGMENT:
-                    state["base"] = a
+                    state["base"] = at
                 elif eid == CLUSTER:
                     state["cluster"] = start
                     out.clusters += 1
-                walk(a, b)
+                elif eid == BLOCK_GROUP:
+                    state["group"], state["refers"] = len(out.packets), False
+                stop = walk(at, stop, eid, unknown)
                 if eid == TRACK:
                     durations[state["track"][0]] = state["track"][1]
                     state["track"] = [0, 0]
                 elif eid == CUE_POSITIONS:
                     out.cues.append((state["cue"][0] * scale, state["cue"][1], state["base"] + state["cue"][2]))
+                elif eid == BLOCK_GROUP and state["refers"]:
+                    out.packets[state["group"] :] = [replace(p, key=False) for p in out.packets[state["group"] :]]
+            elif eid in (SIMPLE_BLOCK, BLOCK):
+                block(at, stop, None if eid == SIMPLE_BLOCK else True)
+            elif eid == REFERENCE_BLOCK:
+                state["refers"] = True
+            elif eid == SCALE:
+                scale = number(data, at, stop)
+            elif eid == TIMESTAMP:
+                state["time"] = number(data, at, stop)
+            elif eid in (TRACK_NUMBER, DEFAULT_DURATION):
+                state["track"][eid == DEFAULT_DURATION] = number(data, at, stop)
+            elif eid in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
+                state["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(eid)] = number(data, at, stop)
+            at = stop
+        return at
 
     try:
-        walk(0, len(data))
+        walk(0, len(data), None, False)
     except (Truncated, IndexError, struct.error):
         out.whole = False
     return out
