@@ -5,14 +5,18 @@ query's k-th best score so far and a bucket's greatest length comes a local cosi
 the bucket is passed over whole. Otherwise the query prunes by length (candidates too short for any
 angle) or by a coordinate (the query's largest: candidates outside the interval that the threshold
 leaves), whichever leaves fewer, and only what is left is multiplied and verified. Bounds are widened by
-a small margin, so that rounding never loses a candidate; scores are exact integers.
+a small margin, so that rounding never loses a candidate; scores are exact integers. Vectors with a component of 2^28 or
+more, beyond which sums of products may not fit a double, go a way of their own: products in doubles with a bound on their error say
+which pairs can matter, and these are multiplied as integers of any size. Results of both ways are ordered by the exact
+score as bytes (``sortable``).
 
 Queries go out in chunks of about ``chunk`` vectors, one after the other: a chunk is broadcast (its size is bounded),
-met with all candidates in one pass, and its result written; a task keeps k results for each query of the chunk. Of equal vectors in a bucket only
+met with all candidates in one pass, and its result written; a task keeps k results for each query of the chunk. A pass reads
+the vectors once more for ``chunk`` queries, which costs little beside their ``chunk`` products with each. Of equal vectors in a bucket only
 those with the k + 1 smallest ids can matter, so that one common vector costs nothing.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows with a
-null id or a component of 2^28 or more in absolute value; shorter vectors count as padded with zeros; ties go to the smaller id;
+null id; a score beyond 64 bits is ranked as it is and returned as the nearest 64-bit integer; shorter vectors count as padded with zeros; ties go to the smaller id;
 of rows with one id the best score counts, and none is a candidate of a query with that id;
 further columns are not read; an empty table gives an empty result.
 """
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 CHUNK, BUCKET, SHORTEST = 8192, 4096, 0.9
 _LIMIT = float(1 << 28)
@@ -36,7 +40,13 @@ def usable(vec: Column) -> Column:
 
 
 def quantised(vec: Column, scale: float) -> Column:
-    return F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    """floor(scale * x) as a double; from 2^52 on a double is whole, and ``floor``, which gives a 64-bit integer, isn't needed."""
+
+    def each(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vec, each)
 
 
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -156,6 +166,35 @@ def bucket(best: Best, qids: np.ndarray, queries: np.ndarray, q_len: np.ndarray,
         best.add(r[other], ids[c[other]], s[other].astype(np.int64))
 
 
+def wide_search(found: dict[int, list[tuple[int, int]]], k: int, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+    """Meet queries with candidates where either may have large components: ``found`` keeps the k best (-score, id) of each query.
+
+    Every pair whose product in doubles, with its error, may reach the k-th best is multiplied as integers.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        sizes = np.sqrt((vecs * vecs).sum(1))
+        for q in range(len(qids)):
+            near = vecs @ queries[q]
+            error = (vecs.shape[1] + 4) * 2.0**-52 * sizes * np.sqrt(queries[q] @ queries[q])
+            low = np.where(np.isfinite(near - error), near - error, -np.inf)
+            other = ids != qids[q]
+            low[~other] = -np.inf
+            kth = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+            exact = list(map(int, queries[q].tolist()))
+            best = dict((i, s) for s, i in found.get(q, ()))
+            for c in np.flatnonzero(other & ~(near + error < kth)):
+                score, i = -sum(x * y for x, y in zip(exact, map(int, vecs[c].tolist()), strict=True)), int(ids[c])
+                best[i] = min(score, best.get(i, score))
+            found[q] = sorted((s, i) for i, s in best.items())[:k]
+
+
+def sortable(score: int) -> bytes:
+    """Bytes in the order of integers of any size: sign, number of bytes and magnitude, complemented below zero."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(2) + abs(score).to_bytes(size)
+    return b"\x01" + raw if score >= 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
 def layers(ids: np.ndarray):
     """Row sets of distinct ids that hold all rows together."""
     by = np.argsort(ids, kind="stable")
@@ -174,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col:
 
     def ready(df: DataFrame) -> DataFrame:
         kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw")).where(F.col("id").isNotNull() & usable(F.col("raw")))
-        return kept.select("id", quantised(F.col("raw"), scale).alias("vec")).where(F.forall("vec", lambda x: F.abs(x) < _LIMIT))
+        return kept.select("id", quantised(F.col("raw"), scale).alias("vec"))
 
     asked, rows = ready(queries), ready(vectors)
     parts = max(1, -(-asked.count() // chunk))
@@ -186,18 +225,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col:
 
         def run(batches, shared=shared):
             qids, qvecs = shared.value
-            best, q_len = Best(len(qids), k), np.sqrt((qvecs * qvecs).sum(1))
+            large = (np.abs(qvecs) >= _LIMIT).any(1)
+            usual, great = np.flatnonzero(~large), np.flatnonzero(large)
+            best, q_len, wide = Best(len(usual), k), np.sqrt((qvecs[usual] * qvecs[usual]).sum(1)), {}
             for batch in batches:
                 ids, vecs = np.asarray(batch.column(0), np.int64), matrix(batch.column(1), qvecs.shape[1])
                 width = vecs.shape[1]
                 asked_vecs = qvecs if qvecs.shape[1] == width else np.pad(qvecs, ((0, 0), (0, width - qvecs.shape[1])))
+                high = (np.abs(vecs) >= _LIMIT).any(1)
                 for rows in layers(ids) if len(qids) else ():
-                    search(best, qids, asked_vecs, q_len, ids[rows], vecs[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(qids[best.row] if len(qids) else best.row), pa.array(best.id), pa.array(best.score)], ["query_id", "id", "score"])
-
-        merged = rows.mapInArrow(run, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        here = cut_lineage(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score"))
+                    low = rows[~high[rows]]
+                    if len(usual) and len(low):
+                        search(best, qids[usual], asked_vecs[usual], q_len, ids[low], vecs[low])
+                    for some, which in ((great, low), (np.arange(len(qids)), rows[high[rows]])):
+                        if len(some) and len(which):
+                            part = {n: wide[q] for n, q in enumerate(some.tolist()) if q in wide}
+                            wide_search(part, k, qids[some], asked_vecs[some], ids[which], vecs[which])
+                            wide.update((int(some[n]), kept) for n, kept in part.items())
+            out = list(zip(qids[usual][best.row].tolist() if len(usual) else [], best.id.tolist(), best.score.tolist(), strict=True)) + [(int(qids[q]), i, -s) for q, kept in wide.items() for s, i in kept]
+            clipped = [max(-(1 << 63), min((1 << 63) - 1, s)) for _, _, s in out]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([sortable(r[2]) for r in out], pa.binary()), pa.array(clipped, pa.int64())], ["query_id", "id", "key", "score"])
+
+        merged = rows.mapInArrow(run, "query_id long, id long, key binary, score long").groupBy("query_id", "id").agg(F.max("key").alias("key"), F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("key"), "id")
+        here = written(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score"))
         shared.destroy()  # one chunk at a time is on the driver and the executors
         found = here if found is None else found.union(here)
     return found
