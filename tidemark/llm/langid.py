@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 ORDERS, BITS, SAMPLE_ROWS, AMBIGUOUS_BELOW = (2, 3, 4), 14, 2000, 0.5
+#: Distinct languages up to which their shares of the sample are broadcast.
+BROADCAST_LANGS = 10_000
 _CHUNK = 1 << 20
 #: Bytes that n-grams see: ASCII non-letters become spaces.
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
@@ -172,13 +174,13 @@ def calibrate(x: np.ndarray, bits: np.ndarray, steps: int = 300) -> tuple[np.nda
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """A model from at most about ``sample_rows`` rows with text and language, an equal share for each language."""
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    each = max(2, sample_rows // len(counts))
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, each / n) * 1_000_000) + 1))])
-    drawn = known.where(F.abs(F.xxhash64(F.lit("langid"), "id") % 1_000_000) < share[F.col("lang")])
-    rows = drawn.select("text", "lang").limit(2 * sample_rows + len(counts)).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    kinds = counts.count()
+    each = max(2, sample_rows // max(kinds, 1))
+    shares = counts.select(F.col("lang").alias("of"), (F.least(F.lit(1.0), F.lit(each) / F.col("n")) * 1_000_000 + 1).cast("long").alias("share"))
+    shares = F.broadcast(shares) if kinds <= BROADCAST_LANGS else shares
+    drawn = known.join(shares, F.col("lang") == F.col("of")).where(F.abs(F.xxhash64(F.lit("langid"), "id") % 1_000_000) < F.col("share"))
+    rows = sorted(tuple(r) for r in drawn.select("text", "lang").limit(2 * sample_rows + 2 * kinds).collect())
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
