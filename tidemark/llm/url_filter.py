@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton finds every term of the vocabulary in one pass over the lower-cased
 url. A find counts only between boundaries (start, end or a character outside a-z and 0-9), and
-each term counts once a url. One strict term rejects; soft terms reject together, when the
+each term counts once a url (of "free-bets" and "free" in one place, both). One strict term rejects; soft terms reject together, when the
 weights of the distinct ones found reach ``soft_limit``. Rules go before the vocabulary.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; a null
@@ -22,8 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-STRICT = ("porn", "xxx", "casino", "viagra", "spam", "warez", "escort", "phishing", "malware", "link-farm", "spam-farm")
-SOFT = {"free": 0.5, "cheap": 1.0, "bonus": 1.0, "win": 0.5, "winner": 1.0, "prize": 1.0, "click": 0.5, "ads": 1.0, "pills": 1.5, "loan": 1.0, "bet": 1.0, "torrent": 1.0, "crack": 1.0, "adult": 1.5, "dating": 1.0}
+STRICT = (
+    "adultfriend", "bestiality", "bitcoin-doubler", "blackjack", "camgirl", "camgirls", "carding", "casino", "casinos", "cialis", "cracked-apk", "creampie", "cumshot", "darknet-market",
+    "deepnude", "ebony-porn", "erotica", "escort", "escorts", "fake-id", "fakeid", "fap", "fetish-porn", "fullz", "gangbang", "hardcore-porn", "hentai", "incest-porn", "keygen", "keygens", "levitra",
+    "link-farm", "linkfarm", "live-sex", "malware", "milf", "naked-girls", "nsfw", "nudes", "online-casino", "onlyfans-leak", "payday-loan", "payday-loans", "phishing", "poker-online", "porn", "porno",
+    "pornhub", "pornography", "pornstar", "pornstars", "ransomware", "sex-cam", "sexcam", "sextape", "slot-machine", "slots-online", "spam", "spam-farm", "spamfarm", "sportsbook", "strip-poker", "torrent-crack",
+    "tramadol", "upskirt", "viagra", "voyeur", "warez", "webcam-sex", "xhamster", "xnxx", "xvideos", "xxx",
+)
+SOFT = {
+    "ads": 1.0, "adult": 1.5, "adults": 1.0, "affiliate": 0.5, "babes": 1.5, "bet": 1.0, "bets": 1.0, "betting": 1.5, "bonus": 1.0, "bonuses": 1.0, "buy": 0.5, "buy-now": 1.0, "cash": 0.5, "cheap": 1.0,
+    "click": 0.5, "clickbait": 1.0, "coupon": 0.5, "coupons": 0.5, "crack": 1.0, "cracked": 1.0, "credit": 0.5, "dating": 1.0, "deal": 0.5, "deals": 0.5, "diet": 0.5, "discount": 0.5, "download": 0.5,
+    "earn": 0.5, "erotic": 1.5, "fast-cash": 1.5, "free": 0.5, "free-bets": 1.5, "gamble": 1.5, "gambling": 1.5, "giveaway": 1.0, "hack": 1.0, "hot": 0.5, "jackpot": 1.5, "limited-offer": 1.0, "loan": 1.0, "loans": 1.0,
+    "lottery": 1.5, "lotto": 1.5, "lucky": 0.5, "make-money": 1.5, "meds": 1.0, "miracle": 0.5, "money": 0.5, "mp3": 0.5, "nude": 1.5, "offer": 0.5, "offers": 0.5, "online-pharmacy": 1.5, "pharmacy": 1.0, "pills": 1.5,
+    "poker": 1.5, "popup": 1.0, "prize": 1.0, "prizes": 1.0, "promo": 0.5, "proxy": 0.5, "replica": 1.0, "rolex": 1.0, "sale": 0.5, "serial": 0.5, "sex": 1.5, "sexy": 1.5, "singles": 1.0, "slots": 1.5, "steroids": 1.5,
+    "streaming": 0.5, "tracker": 0.5, "torrent": 1.0, "torrents": 1.0, "unblocked": 1.0, "weight-loss": 1.0, "win": 0.5, "winner": 1.0, "winners": 1.0,
+}
 SOFT_LIMIT = 2.0
 
 
