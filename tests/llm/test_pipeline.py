@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import corpus_pipeline
-from tests.llm.test_corpus_operators import expected_ids, plain_components, plain_fingerprint, words
+from tests.llm.test_corpus_operators import expected_ids, plain_set_components, words
 from tidemark.llm import langid, mixing, secrets
 from tidemark.llm.common import written
 
@@ -37,11 +37,10 @@ def test_language_stage(stages):
 
 def test_dedup_stage(stages):
     _, before, after = stages[1]
-    rows = before.collect()
-    prints = [plain_fingerprint(r.text) for r in rows]
-    components = plain_components(prints, [r.doc_id for r in rows])
-    assert len(after.collect()) == len(set(zip(components, [p if c is None else 0 for c, p in zip(components, prints, strict=True)], strict=True)))
-    assert {r.doc_id for r in after.collect()} == {c for c in components}
+    rows, least = before.collect(), {}
+    for r, c in zip(rows, plain_set_components([r.text for r in rows]), strict=True):
+        least[c] = min(least.get(c, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in after.collect()) == sorted(least.values())
 
 
 def test_secret_stage(stages):
