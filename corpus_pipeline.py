@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, mixing, packing, secrets, simhash
-from tidemark.llm.common import table, written
+from tidemark.llm.common import discard, made, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group stays, that of the smallest id: groups of five-word shingle sets with a similarity of about 0.8 or more."""
     return simhash.deduplicated(docs)
 
 
@@ -44,7 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made(spark)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        discard(spark, [f for f in made(spark)[:-1] if f not in before])  # what the stage, and the one before, left
     return STAGES[-1][1](spark, docs, sf_dir)
