@@ -44,7 +44,7 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Of sets: words of a shingle, similarity, and differing bits of 128 (at a similarity of 0.8 they are 19 on average, of random sets 64).
 SET_SHINGLE, SIMILARITY, SET_RADIUS = 5, 0.8, 24
 #: Rows of a key up to which it isn't crowded, whatever the table's size; and bytes of bitmaps up to which they are broadcast.
-CROWD, BITMAP_BYTES = 10_000, 64 << 20
+CROWD, BITMAP_BYTES = 1000, 64 << 20
 
 
 def shingle_hashes(words: list[bytes], shingle: int, digest: Callable[[bytes], bytes]) -> bytes:
