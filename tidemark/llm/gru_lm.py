@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import slices, utf8, written
 
 HIDDEN, VOCAB, HEAD, CLASSES, TAIL = 16, 4000, 200_000, 32, 32
-WINDOW, STREAMS, CHUNK, RATE, WARM_ROWS, SEED = 16, 512, 400_000, 1e-2, 800, 8
+WINDOW, STREAMS, CHUNK, RATE, WARM_ROWS, SEED = 32, 512, 500_000, 1e-2, 800, 8
 #: Bytes of text that are scored together; a longer text is alone.
-BYTES = 32 << 20
+BYTES = 48 << 20
 END = b"\n"  # no word holds white space
 
 
@@ -256,7 +256,7 @@ def backward(net: Network, layout: Layout, inputs: np.ndarray, goals: np.ndarray
     return hs[-1].T.copy(), g
 
 
-def log_likelihoods(net: Network, layout: Layout, docs: list[np.ndarray], window: int = 32, together: int = 1024) -> np.ndarray:
+def log_likelihoods(net: Network, layout: Layout, docs: list[np.ndarray], window: int = 16, together: int = 2048) -> np.ndarray:
     """Natural log-probability of each document's ids, a tail word counting by its class alone; documents of like length go together."""
     out, order, end = np.zeros(len(docs)), np.argsort([-len(d) for d in docs], kind="stable"), layout.places.get(END, 0)
     table = np.ascontiguousarray((net.p["E"] @ net.p["W"] + net.p["b"]).T)
@@ -305,7 +305,7 @@ def window_scores(net: Network, layout: Layout, states: np.ndarray, ids: np.ndar
     return got
 
 
-def token_counts(texts: DataFrame, keep: int = 300_000) -> DataFrame:
+def token_counts(texts: DataFrame, keep: int = 400_000) -> DataFrame:
     """word (binary), n over all texts (one column): counted in each task before the shuffle, with bounded memory."""
 
     def run(batches):
@@ -441,7 +441,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         n_own, task, row = len(layout.words), TaskContext.get().partitionId(), 0
         log_mass = np.log10(layout.tail_mass)
         for whole in batches:
-            for batch in slices(whole, 4096, BYTES):
+            for batch in slices(whole, 10_000, BYTES):
                 ids, n_tokens, seen, base, tail_part, rest_words, rest_counts = [], [], [], [], [], [], []
                 for text in batch.column(1):
                     toks = tokens(text.as_py())
