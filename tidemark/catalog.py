@@ -7,8 +7,10 @@ form. Keys ending in ``_one_series`` are the single requests, whose feature is t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import operators, plans
@@ -16,7 +18,7 @@ from .engine import Engine
 from .functions import passes
 from .sources import Series, adapters
 from .sources.scratch import scratch
-from .types import Aggregator, ColumnType, CompareExpression, CompareOp
+from .types import Aggregator, ColumnType, CompareExpression, CompareOp, LatestQueryRequest, TimeRangeAggregationRequest, TimeRangeDownsampleRequest
 
 AVG, MAX, EQ, GT = Aggregator.AVG, Aggregator.MAX, CompareOp.EQUAL, CompareOp.GREATER
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +88,9 @@ def _latest(columns=(), vins=None) -> tuple[Query, str]:
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each series a request from its third row to its last: the one at lo is kept, the one at hi dropped."""
     series = adapters.events(spark, sf_dir)
-    times = series.frame(series.df, []).groupBy("vin").agg(F.sort_array(F.collect_set("ts")).alias("t")).where(F.size("t") > 3)
-    asked = times.select(F.col("vin").alias("request_id"), "vin", F.element_at("t", 3).alias("lo"), F.element_at("t", -1).alias("hi"))
+    times = series.frame(series.df, []).distinct().withColumn("place", F.row_number().over(Window.partitionBy("vin").orderBy("ts")))
+    ends = times.groupBy("vin").agg(F.max(F.when(F.col("place") == 3, F.col("ts"))).alias("lo"), F.max("ts").alias("hi"), F.max("place").alias("n")).where("n > 3")
+    asked = ends.select(F.col("vin").alias("request_id"), "vin", "lo", "hi")
     return operators.range_batch(series, asked, ["value"]).select("vin", "ts", "value")
 
 
@@ -121,31 +124,45 @@ def _batch(kind: str) -> tuple[Query, str]:
     )
 
 
+#: Blocks of the stored tables' rollups.
+STORED_BLOCK = 6 * HOUR
+
+
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(plans.build_rollup(adapters.events(spark, sf_dir), "value", DAY), "total", digits=6)
+    """The rollup that appends have kept: a row for each append, added up."""
+    engine = stored(spark, sf_dir, writes=2)
+    rollup = engine.store.rollup("events", engine.tables["events"])
+    return _rounded(rollup.groupBy("vin", "block_start").agg(F.sum("n_value").alias("n"), F.sum("total_value").alias("total"), F.max("most_value").alias("most")), "total", digits=6)
 
 
-def _with_rollup(down: bool) -> tuple[Query, str]:
-    block, lo = 6 * HOUR, LO - 183
+def _with_rollup(down: bool, column: str, aggregator: Aggregator) -> tuple[Query, str]:
+    """A request for all series to the engine, which takes whole blocks from the stored rollups."""
+    lo = LO - 183 if down else LO
     hi = lo + 30 * DAY
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = adapters.events(spark, sf_dir)
-        rollup = plans.build_rollup(series, "value", block)
+        engine = stored(spark, sf_dir, writes=2)
         if down:
-            return plans.downsample_with_rollup(series, rollup, "value", block, MAX, lo, hi, DAY)
-        return _rounded(plans.aggregate_with_rollup(series, rollup, "value", block, AVG, LO, HI), "value")
+            out = engine.downsample(TimeRangeDownsampleRequest("events", VIN, column, lo, hi, aggregator, DAY), None)
+        else:
+            out = engine.aggregate(TimeRangeAggregationRequest("events", VIN, column, lo, hi, aggregator), None)
+        return _rounded(out, column) if aggregator is AVG else out
 
-    return run, (_downsample("value", MAX, lo=lo, hi=hi) if down else _aggregate("value", AVG))[1]
+    return run, (_downsample(column, aggregator, lo=lo, hi=hi) if down else _aggregate(column, aggregator, lo, hi))[1]
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all series, from the newest rows that appends have kept."""
+    engine = stored(spark, sf_dir, writes=2)
+    return operators.latest(engine.store.newest("events", engine.tables["events"]))
+
+
+def _merged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rows of the first half of the month, merged with those of all later rows."""
     series = adapters.events(spark, sf_dir)
     half = LO + 15 * DAY
-    part = lambda a, b: Series(series.within(series.df, a, b), series.schema, series.key, series.time, series.stored, series.values, series.vin, series.raw_key, series.tie)
-    first = operators.latest(part(0, half))
-    return plans.merge_latest(first, part(half, 4102444800000))
+    part = lambda a, b: replace(series, df=series.within(series.df, a, b))
+    return plans.merge_latest(operators.latest(part(0, half)), part(half, 4102444800000))
 
 
 def _predicate(op: CompareOp, value: float) -> tuple[Query, str]:
@@ -164,50 +181,70 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIES_SQL = f"SELECT vin, ts, l_linenumber, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY ts DESC, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS nth FROM {LINES}) WHERE nth = 1"
 
 
-def _stored(spark: SparkSession, sf_dir: str, writes: int = 1, dedup: str | None = None) -> tuple[Engine, Series]:
-    """The events written to a new database in so many appends, which is then opened again."""
-    series = adapters.events(spark, sf_dir)
-    path = scratch(spark)
-    first = Engine(spark, path, buckets=16).connect()
-    first.create_table("events", series.schema)
-    rows = series.frame(series.df, list(series.schema.columns))
-    for n in range(writes):
-        first.write_frame("events", rows if writes == 1 or dedup else rows.where(F.pmod(F.xxhash64("vin", "ts"), F.lit(writes)) == n))
-    first.shutdown()
-    again = Engine(spark, path, buckets=16, dedup=dedup).connect()
-    return again, again.series("events")
-
+_STORED: dict[tuple, str] = {}
 
-def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write, reopen, read all."""
-    series = _stored(spark, sf_dir)[1]
-    return operators.time_range(series, 0, 4102444800000)
 
+def stored(spark: SparkSession, sf_dir: str, writes: int = 1, dedup: str | None = None, buckets: int = 16) -> Engine:
+    """The events in a database of 16 buckets, written in so many appends once a session, and now opened again.
 
-def _two_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.time_range(_stored(spark, sf_dir, 2)[1], LO, HI, None, ["value"])
+    With ``dedup`` the first append has other values for every row, which the last one overwrites.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, writes, dedup)
+    if key not in _STORED:
+        series, path = adapters.events(spark, sf_dir), scratch(spark)
+        first = Engine(spark, path, buckets=16, block=STORED_BLOCK).connect()
+        first.create_table("events", series.schema)
+        rows = series.frame(series.df, list(series.schema.columns))
+        for n in range(writes):
+            if dedup:
+                part = rows if n == writes - 1 else rows.withColumns({"k": F.col("k") + 1000 + n, "value": -F.col("value"), "event_type": F.lit("none")})
+            else:
+                part = rows.where(F.pmod(F.xxhash64("vin", "ts"), F.lit(writes)) == n)
+            first.write_frame("events", part)
+        first.shutdown()
+        _STORED[key] = path
+    return Engine(spark, _STORED[key], buckets=buckets, dedup=dedup).connect()
 
 
-def _overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row written twice; the last write of each (vin, ts) counts."""
-    return operators.time_range(_stored(spark, sf_dir, 2, "last")[1], LO, HI, None, ["k"])
+def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that an engine has made, as another one finds them."""
+    path = scratch(spark)
+    engine = Engine(spark, path).connect()
+    engine.create_table("events", adapters.events(spark, sf_dir).schema)
+    engine.create_table("orders", adapters.orders(spark, sf_dir).schema)
+    found = Engine(spark, path).connect().schemas
+    return spark.createDataFrame([(t, n, k.name) for t, schema in found.items() for n, k in schema.columns.items()], "table_name string, name string, type string")
 
 
-def _stored_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(operators.downsample(_stored(spark, sf_dir)[1], "value", AVG, LO, HI, DAY, CompareExpression(20.5, GT)), "value")
+CREATED_SQL = """SELECT * FROM (VALUES ('events', 'event_type', 'STRING'), ('events', 'k', 'INTEGER'), ('events', 'value', 'DOUBLE_FLOAT'),
+    ('orders', 'o_orderstatus', 'STRING'), ('orders', 'o_totalprice', 'DOUBLE_FLOAT')) t(table_name, name, type)"""
 
 
 def _reopened_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine, _ = _stored(spark, sf_dir)
+    engine = stored(spark, sf_dir)
     return spark.createDataFrame([(n, t.name) for n, t in engine.schemas["events"].columns.items()], "name string, type string")
 
 
 SCHEMA_SQL = "SELECT * FROM (VALUES ('event_type', 'STRING'), ('k', 'INTEGER'), ('value', 'DOUBLE_FLOAT')) t(name, type)"
 
 
-def _schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema as the engine keeps it: columns by name, with type names."""
-    return spark.createDataFrame([(n, t.name) for n, t in adapters.events(spark, sf_dir).schema.columns.items()], "name string, type string")
+def _other_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a database of 16 buckets, opened by an engine set to 64: rows of ten series, one after the other."""
+    series = stored(spark, sf_dir, buckets=64).series("events")
+    parts = [operators.time_range(series, LO, HI, [f"{n:017d}"], ["k"]) for n in range(1, 11)]
+    return reduce(DataFrame.union, parts)
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine has counted of its appends."""
+    series, path = adapters.events(spark, sf_dir), scratch(spark)
+    engine = Engine(spark, path, buckets=16).connect()
+    engine.create_table("events", series.schema)
+    rows = series.frame(series.df, list(series.schema.columns))
+    for n in range(2):
+        engine.write_frame("events", rows.where(F.pmod(F.xxhash64("vin", "ts"), F.lit(2)) == n))
+    seen = engine.stats["events"]
+    return spark.createDataFrame([(seen["rows"], seen["from"], seen["to"])], "n long, first long, last long")
 
 
 def _entries() -> dict[str, tuple[Query, str]]:
@@ -247,27 +284,33 @@ def _entries() -> dict[str, tuple[Query, str]]:
         "x1_range_batch": _batch("range"),
         "x1_aggregate_batch": _batch("aggregate"),
         "x1_downsample_batch": _batch("downsample"),
-        "l2_connect_latest": (lambda spark, sf_dir: operators.latest(_stored(spark, sf_dir)[1]), _latest()[1]),
-        "l3_create_table": (_schema_table, SCHEMA_SQL),
-        "l5_write": (_written, _range(0, 4102444800000)[1]),
+        "l2_connect_latest": (lambda spark, sf_dir: operators.latest(stored(spark, sf_dir).series("events")), _latest()[1]),
+        "l3_create_table": (_created, CREATED_SQL),
+        "l5_write": (lambda spark, sf_dir: operators.time_range(stored(spark, sf_dir).series("events"), 0, 4102444800000), _range(0, 4102444800000)[1]),
+        "l6_other_buckets": (_other_buckets, _range(LO, HI, ["k"], [f"{n:017d}" for n in range(1, 11)])[1]),
         "l9_schema_reload": (_reopened_schema, SCHEMA_SQL),
-        "s3_stored_range": (lambda spark, sf_dir: operators.time_range(_stored(spark, sf_dir)[1], LO + 5 * DAY, LO + 6 * DAY), _range(LO + 5 * DAY, LO + 6 * DAY)[1]),
-        "s6_two_appends": (_two_appends, _range(LO, HI, ["value"])[1]),
-        "d4_last_write": (_overwritten, _range(LO, HI, ["k"])[1]),
-        "c5_timestamps_lossless": (_stored_downsample, _downsample("value", AVG, CompareExpression(20.5, GT))[1]),
-        "l7_rollup": (_rollup, f"SELECT vin, ts - ts % {DAY} AS block_start, count(*) AS n, ROUND(sum(value), 6) AS total, max(value) AS most FROM {EVENTS} GROUP BY vin, 2"),
+        "s3_stored_range": (lambda spark, sf_dir: operators.time_range(stored(spark, sf_dir).series("events"), LO + 5 * DAY, LO + 6 * DAY), _range(LO + 5 * DAY, LO + 6 * DAY)[1]),
+        "s6_two_appends": (lambda spark, sf_dir: operators.time_range(stored(spark, sf_dir, 2).series("events"), LO, HI, None, ["value"]), _range(LO, HI, ["value"])[1]),
+        "d4_last_write": (lambda spark, sf_dir: operators.time_range(stored(spark, sf_dir, 2, "last").series("events"), LO, HI), _range(LO, HI)[1]),
+        "d4_last_write_latest": (lambda spark, sf_dir: stored(spark, sf_dir, 2, "last").execute_latest_query(LatestQueryRequest("events", [f"{n:017d}" for n in range(1, 2000)])), _latest((), [f"{n:017d}" for n in range(1, 2000)])[1]),
+        "c5_timestamps_lossless": (lambda spark, sf_dir: _rounded(operators.downsample(stored(spark, sf_dir).series("events"), "value", AVG, LO, HI, DAY, CompareExpression(20.5, GT)), "value"), _downsample("value", AVG, CompareExpression(20.5, GT))[1]),
+        "l7_rollup": (_rollup, f"SELECT vin, ts - ts % {STORED_BLOCK} AS block_start, count(*) AS n, ROUND(sum(value), 6) AS total, max(value) AS most FROM {EVENTS} GROUP BY vin, 2"),
         "l10_latest_snapshot": (_snapshot, _latest()[1]),
+        "l10_merged_snapshot": (_merged_snapshot, _latest()[1]),
+        "e8_counters": (_counters, f"SELECT count(*) AS n, min(ts) AS first, max(ts) AS last FROM {EVENTS}"),
         "s1_series_lookup": _range(0, 4102444800000, (), one),
         "s2_time_filter": _range(LO + 5 * DAY, LO + 6 * DAY),
         "s5_projection": _range(0, 4102444800000, ["k", "event_type"]),
         "p1_equal": _predicate(EQ, 26.17),
         "p2_greater": _predicate(GT, 100.0),
-        "a1_avg": _aggregate("k", AVG, of=adapters.events),
+        "a1_avg": _aggregate("l_quantity", AVG, LINES_LO, LINES_HI, of=adapters.lineitems, table=LINES),
         "a2_max": _aggregate("value", MAX, LO + DAY, LO + 9 * DAY),
         "a3_filtered_avg": _aggregate("value", AVG, test=e(20.5, GT)),
         "a3_filtered_max_none": _aggregate("k", MAX, test=e(1000, GT)),
-        "a4_rollup_aggregate": _with_rollup(False),
-        "a4_rollup_downsample": _with_rollup(True),
+        "a4_rollup_aggregate": _with_rollup(False, "value", AVG),
+        "a4_rollup_aggregate_int": _with_rollup(False, "k", MAX),
+        "a4_rollup_downsample": _with_rollup(True, "value", MAX),
+        "a4_rollup_downsample_avg": _with_rollup(True, "k", AVG),
     }
 
 

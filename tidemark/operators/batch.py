@@ -1,19 +1,20 @@
 """Many requests at once: a table of requests joined with the series, one job in place of one for each.
 
 ``requests`` holds request_id (any type), vin, lo and hi (long, milliseconds, lo < hi), for the downsample
-also interval. Up to ``BROADCAST_ROWS`` requests, counted first, are broadcast; more are joined by shuffle on
+also interval. Up to ``BROADCAST_ROWS`` requests are fetched, made once, and broadcast; more are joined by shuffle on
 the key, where the adaptive skew join splits a crowded series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filtered
-from ..sources.adapters import Series
+from ..sources.adapters import Series, last_of
 from ..types import Aggregator, CompareExpression
 
 BROADCAST_ROWS = 100_000
@@ -21,10 +22,13 @@ BROADCAST_ROWS = 100_000
 
 def _met(series: Series, requests: DataFrame, columns: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     asked = requests.select("request_id", F.col("vin").alias("asked"), F.col("lo").cast("long"), F.col("hi").cast("long"), *more)
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    rows = series.frame(series.df, columns)
-    return rows.join(asked, (F.col("vin") == F.col("asked")) & (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
+    few = asked.limit(BROADCAST_ROWS + 1).toArrow()
+    if few.num_rows <= BROADCAST_ROWS:
+        asked = F.broadcast(asked.sparkSession.createDataFrame(few, asked.schema))
+    order = [F.col(c).alias(f"_{n}") for n, c in enumerate(series.tie)] if series.dedup else []
+    rows = replace(series, dedup=False).frame(series.df, columns, order)
+    met = rows.join(asked, (F.col("vin") == F.col("asked")) & (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
+    return last_of(met, ["request_id", "vin", "lo", "hi", "ts"], [f"_{n}" for n in range(len(order))]) if order else met
 
 
 def range_batch(series: Series, requests: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,10 @@ from ..types import Aggregator, CompareExpression, check_interval
 from .timerange import time_range
 
 
+#: Buckets that a row of the grid of all buckets is made of.
+GRID = 4096
+
+
 def downsample(
     series: Series, column: str, aggregator: Aggregator, lo: int, hi: int, interval: int, test: CompareExpression | None = None,
     vins: Sequence[str] | None = None, sentinel: str = "reference", emit_empty_buckets: bool = False,
@@ -30,5 +34,8 @@ def downsample(
     if not emit_empty_buckets:
         return out
     none = F.lit(None if sentinel == "null" else kind.no_value if aggregator is Aggregator.MAX else float("-inf")).cast(out.schema[column].dataType)
-    grid = out.select("vin").distinct().select("vin", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - interval).cast("long"), F.lit(interval).cast("long"))).alias("ts"))
+    span, many = GRID * interval, (hi - lo) // interval  # in two steps, so that no row holds more than so many buckets
+    runs = out.select("vin").distinct().select("vin", F.explode(F.sequence(F.lit(0), F.lit((many - 1) // GRID))).alias("run"))
+    begin = F.lit(lo).cast("long") + F.col("run") * F.lit(span).cast("long")
+    grid = runs.select("vin", F.explode(F.sequence(begin, F.least(begin + F.lit(span - interval).cast("long"), F.lit(hi - interval).cast("long")), F.lit(interval).cast("long"))).alias("ts"))
     return grid.join(out, ["vin", "ts"], "left").select("vin", "ts", F.when(F.col(column).isNull(), none).otherwise(F.col(column)).alias(column))

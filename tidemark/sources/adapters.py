@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import millis, moment
@@ -20,8 +20,8 @@ class Series:
 
     ``key`` names the raw key column, ``vin`` makes the series key of it and ``raw_key`` the raw key of a series
     key (None if there is none). ``time`` names the raw time column, ``stored`` is "ms" or "ntz". ``values`` are
-    the value columns by name. ``tie`` orders rows of one series and time, first to last; ``bucket`` gives the
-    storage bucket of a series key, where the table is partitioned by one.
+    the value columns by name. ``tie`` orders rows of one series and time, first to last; with ``dedup`` only the last of them
+    counts. ``bucket`` gives the storage bucket of a series key, where the table is partitioned by one.
     """
 
     df: DataFrame
@@ -34,6 +34,7 @@ class Series:
     raw_key: Callable[[str], object | None] = lambda v: v
     tie: Sequence[str] = ()
     bucket: Callable[[Column], Column] | None = None
+    dedup: bool = False
 
     def value(self, name: str) -> Column:
         return self.values.get(name, F.col(name)).cast(self.schema.columns[name].spark)
@@ -56,10 +57,17 @@ class Series:
         return df.where((F.col(self.time) >= moment(lo, self.stored)) & (F.col(self.time) < moment(hi, self.stored)))
 
     def frame(self, df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-        """vin, ts and the columns asked for."""
+        """vin, ts and the columns asked for; where only the last row of a time counts, of what filters have left."""
+        if self.dedup:
+            df = last_of(df, [self.key, self.time], self.tie)
         return df.select(self.vin(F.col(self.key)).alias("vin"), millis(F.col(self.time), self.stored).alias("ts"), *[self.value(c).alias(c) for c in columns], *extra)
 
 
+def last_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*map(F.desc, order)))).where("place = 1").drop("place")
+
+
 def _padded(c: Column) -> Column:
     return F.lpad(c.cast("string"), 17, "0")
 

@@ -15,7 +15,7 @@ NO_INTEGER = -2147483648
 VIN_BYTES = 17
 
 #: Columns that tables have beside the value columns.
-RESERVED = ("vin", "ts", "append", "bucket", "written")
+RESERVED = ("vin", "ts", "append", "bucket", "written", "nth")
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
