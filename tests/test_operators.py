@@ -66,7 +66,7 @@ def test_many_keys_become_a_join(series):
 
 def test_rollup_equals_rows(series):
     for column in ("i", "d"):
-        rollup = plans.build_rollup(series, column, 100).cache()
+        rollup = plans.build_rollup(series, [column], 100).cache()
         for aggregator in (AVG, MAX):
             for lo, hi in ((-333, 1777), (-300, 1700), (10, 60), (5, 105)):
                 want = {r.vin: r[column] for r in operators.aggregate(series, column, aggregator, lo, hi).collect()}

@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,13 +190,11 @@ class Store:
         hidden, shown = self._path(f"{name}/_new-{uuid.uuid4().hex}"), self._path(f"{name}/append={mark}")
         if self._fs(shown).exists(shown):
             return None
-        seen = Observation()
-        dealt = df.observe(seen, F.count("*").alias("rows"), F.min("ts").alias("from"), F.max("ts").alias("to"))
-        dealt = dealt.withColumn("bucket", bucket_of(table.buckets)(F.col("vin"))).hint("rebalance", "bucket")
+        dealt = df.withColumn("bucket", bucket_of(table.buckets)(F.col("vin"))).hint("rebalance", "bucket")
         dealt.sortWithinPartitions("bucket", "vin", "ts").write.partitionBy("bucket").options(**CODECS).parquet(hidden.toString())
-        counted = seen.get
+        stored = self.spark.read.schema(T.StructType([*table.schema.struct().fields, *WRITTEN])).parquet(hidden.toString())
+        counted = stored.agg(F.count("*").alias("rows"), F.min("ts").alias("from"), F.max("ts").alias("to")).first().asDict()
         if counted["rows"]:
-            stored = self.spark.read.schema(T.StructType([*table.schema.struct().fields, *WRITTEN])).parquet(hidden.toString())
             rows = F.struct("vin", "ts", *table.schema.columns, "written", "nth")
             ends = stored.groupBy("vin").agg(F.max_by(rows, F.struct("ts", -F.col("nth"))).alias("a"), F.max_by(rows, F.struct("ts", "nth")).alias("b"))  # of the newest time, the first written and the last
             newest = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("r")).select("r.*")
