@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-WINDOW, GROUP, GROUP_BYTES, PADDING, END_ID, VOCABULARY, KEPT_WORDS = 4096, 2048, 64 << 20, 0.002, 2, "word_bpe_49k.json", 700_000
+WINDOW, GROUP, GROUP_BYTES, PADDING, END_ID, VOCABULARY, KEPT_WORDS = 4096, 2048, 64 << 20, 0.002, 2, "word_bpe_49k.json", 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
