@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gru_lm, langid, licenses, matroska, mixing, packing, secrets, simhash, topk, url_filter
+from . import bases, gru_lm, langid, licenses, matroska, mixing, packing, secrets, simhash, topk, url_filter
 from .common import table
 
 URL_RULES = (
@@ -84,7 +84,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_gru_lm": op8_gru_lm, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
+    """Each operator's query, and what SQL can express of those that it can't express whole."""
+    own = {"op1_license_scan": op1_license_scan, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_matroska": op4_matroska, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_gru_lm": op8_gru_lm, "op9_secret_scan": op9_secret_scan, "op10_simhash_dedup": op10_simhash_dedup}
+    return own | {name: lambda spark, sf_dir, of=own[of], keep=keep: keep(of(spark, sf_dir)) for name, (of, keep, _) in bases.BASES.items()}
 
 
 def _op2_sql() -> str:
@@ -117,4 +119,4 @@ OP5_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op5_exact_topk": OP5_SQL}
+    return {"op2_url_filter": _op2_sql(), "op5_exact_topk": OP5_SQL} | {name: sql for name, (_, _, sql) in bases.BASES.items()}
