@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -83,6 +85,27 @@ def _halved(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+#: What a worker process keeps for the tasks of one stage, and that stage.
+_KEPT: dict = {}
+
+
+def release() -> None:
+    """Drop what the worker process keeps from another stage: called where a task begins."""
+    stage = (context := TaskContext.get()) and context.stageId()
+    if _KEPT.get("stage") != stage:
+        _KEPT.clear()
+        _KEPT["stage"] = stage
+        gc.collect()
+
+
+def kept(name: str, make: Callable[[], object]):
+    """An object that all tasks of a stage in one worker process share, made by the first."""
+    release()
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Each Arrow batch of ``df``, in slices, through ``make()``, which is called once a task.
 
@@ -90,6 +113,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         each = make()
         for batch in batches:
             yield from map(each, slices(batch))

@@ -12,7 +12,7 @@ All windows are padded to the capacity but those that end at a power of two.
 Ids are made once for each distinct word that a worker meets, if the vocabulary marks the ends of words, so that
 its normaliser and pre-tokeniser never look across white space and a text's ids are its words' ids in order; with any
 other vocabulary texts are encoded whole. The words that a worker keeps are bounded (``KEPT_WORDS``); others are
-encoded again with each batch. The vocabulary file is found where it is opened, on the executors.
+encoded again with each batch, and are let go when the worker's next task is of another stage. The vocabulary file is found where it is opened, on the executors.
 
 Cases: a null or empty text is the end id alone; texts of any length are packed whole; repeated rows
 are packed each for itself; null ids stay null; further columns are not read; an empty table gives
@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import kept, slices, utf8
 
-WINDOW, GROUP, GROUP_BYTES, PADDING, END_ID, VOCABULARY, KEPT_WORDS = 4096, 2048, 64 << 20, 0.002, 2, "word_bpe_49k.json", 600_000
+WINDOW, GROUP, GROUP_BYTES, PADDING, END_ID, VOCABULARY, KEPT_WORDS = 4096, 2048, 64 << 20, 0.002, 2, "word_bpe_49k.json", 450_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -120,10 +120,9 @@ class WordIds:
         return [b"".join(ids) for ids in found]
 
 
-@lru_cache(2)
 def word_ids(path: str) -> WordIds:
-    """One per worker process, so that later tasks find the words of earlier ones."""
-    return WordIds(path)
+    """One per worker process and stage, so that later tasks find the words of earlier ones, and other stages have the memory."""
+    return kept(f"words of {path}", lambda: WordIds(path))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
