@@ -403,11 +403,16 @@ def plain_components(prints, ids, radius=3, linked=lambda i, j: True):
     return [min((d for d in least[root(i)] if d is not None), default=None) for i in range(len(prints))]
 
 
+def plain_set(text):
+    w = words(low(text))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
+
+
 def plain_set_components(texts):
-    """Component (a number) of each text by 5-word sets: at most 24 of 128 bits and bands of size that touch."""
-    found = [plain_set_fingerprint(t) for t in texts]
-    band = [math.floor(math.log(max(n, 1)) / -math.log(0.8)) for _, n in found]
-    return plain_components([f for f, _ in found], list(range(len(texts))), simhash.SET_RADIUS, lambda i, j: abs(band[i] - band[j]) <= 1)
+    """Component (a number) of each text by an exact similarity of 0.8 or more of the 5-word sets; no fingerprint is used."""
+    sets = [plain_set(t) for t in texts]
+    alike = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    return plain_components([0] * len(texts), list(range(len(texts))), 0, alike)
 
 
 def test_near_duplicate_query(spark, messy):
@@ -469,6 +474,59 @@ def test_sets_link_at_their_similarity():
     assert hits["near", True, True] >= 58 and sum(n for (k, _, linked), n in hits.items() if k == "far" and linked) == 0
 
 
+def family_texts(rng, families=14):
+    """Families of texts whose similarity runs from 0.4 to 1, chains among them, and some of other sizes."""
+    texts = []
+    for f in range(families):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((90, 200, 260)))]
+        for k in range(12):
+            own = list(text if f % 2 or not k else texts[-1].split())
+            for _ in range(rng.choice((0, 1, 2, 4, 6, 9))):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(own[: max(40, len(own) - rng.choice((0, 0, 30)))]))
+    return texts + ["", " ", "one", "one", "one two", None]
+
+
+def test_units_of_candidates_keep_every_confirmed_link():
+    """Whatever the size of a unit, in one block or between two: the components of all pairs in the radius that are alike."""
+    texts = sorted({(t or "").strip() for t in family_texts(random.Random(12))})
+    hashes = [simhash.distinct_hashes(t) for t in texts]
+    prints = np.stack([np.frombuffer(simhash.majority((h,), 16)[0], np.uint8) for h in hashes])
+    sets = [np.ascontiguousarray(h[:, :8]).view(">u8").ravel() for h in hashes]
+    sizes, plain, half = np.array([len(h) for h in hashes]), [plain_set(t) for t in texts], len(texts) // 2
+    for right in (None, half):
+        left, other = (prints, None) if right is None else (prints[:half], prints[half:])
+        for most, step in ((1 << 21, 1 << 20), (500, 1 << 20), (2000, 300), (1, 1)):
+            u, v = [], []
+            for at, later in simhash.block_units(left, other, sizes, simhash.SET_RADIUS, most):
+                order = at[np.argsort(later, kind="stable")]
+                cut = int((~later).sum())
+                x, y = simhash.similar_links(prints[order[:cut]], prints[order[cut:]] if later.any() else None, [sets[k] for k in order], 0.8, simhash.SET_RADIUS, step)
+                u += order[x].tolist()
+                v += order[y].tolist()
+            own = list(range(len(texts)))
+            want = plain_components([int.from_bytes(p.tobytes()) for p in prints], own, simhash.SET_RADIUS, lambda i, j: (right is None or (i < half) != (j < half)) and 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j]))
+            groups = defaultdict(set)
+            for i, c in enumerate(want):
+                groups[c].add(i)
+            assert {frozenset(g) for g in _groups(len(texts), np.array(u, int), np.array(v, int))} == {frozenset(g) for g in groups.values()}
+
+
+def test_only_texts_of_the_similarity_go(spark, monkeypatch):
+    """Against exact similarity alone; with many blocks and small units as with one."""
+    texts = family_texts(random.Random(21))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = {}
+    for i, c in enumerate(plain_set_components(texts)):
+        least.setdefault(c, i)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(least.values())
+    nodes = simhash.written(simhash.distinct_prints(simhash.written(simhash.fingerprints(docs, shingle=5, wide=True))))
+    rows = simhash.written(docs.select(F.col("doc_id").alias("row"), "text"))
+    for block, most in ((None, 1 << 21), (20, 900)):
+        links = simhash.set_links(nodes, rows, simhash.SET_RADIUS, 5, simhash.SEED, block=block, most=most)
+        assert {r.component_id for r in simhash.labelled(nodes, links).collect()} == set(least.values())
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(6)
     for n in (1, 5, 50, 400):
