@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id: groups of five-word shingle sets with a similarity of about 0.8 or more."""
+    """One document of each group stays, that of the smallest id: groups of five-word shingle sets with a similarity of 0.8 or more."""
     return simhash.deduplicated(docs)
 
 
