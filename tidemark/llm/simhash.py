@@ -195,12 +195,15 @@ def block_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iter
 def block_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of those pairs: each place but the least of its component with that least."""
     u, v, held = [], [], 0
+    label = np.arange(len(left) + (0 if right is None else len(right)))
     for i, j in block_pairs(left, right, radius):
-        u.append(i)
-        v.append(j)
-        held += len(i)
-        if held > 1 << 20:
+        apart = label[i] != label[j]
+        u.append(i[apart])
+        v.append(j[apart])
+        held += len(u[-1])
+        if held > 1 << 17:
             x, y = forest(np.concatenate(u), np.concatenate(v))
+            label[x] = y
             u, v, held = [x], [y], 0
     return forest(np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
 
