@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -89,13 +90,21 @@ def _halved(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 _KEPT: dict = {}
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: Arrow's pool and, where there is one, glibc's heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def release() -> None:
-    """Drop what the worker process keeps from another stage: called where a task begins."""
+    """Drop what the worker process keeps from another stage, and give free memory back: called where a task begins."""
     stage = (context := TaskContext.get()) and context.stageId()
     if _KEPT.get("stage") != stage:
         _KEPT.clear()
         _KEPT["stage"] = stage
         gc.collect()
+    trim()
 
 
 def kept(name: str, make: Callable[[], object]):
