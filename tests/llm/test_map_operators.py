@@ -77,6 +77,21 @@ def test_wrapped_licenses():
     assert [(m.license, m.differing) for m in licenses.scan_text("Copyright (c) 2020 A\n\n" + mit + "\n\n" + mit)[1]] == [("MIT", 0)] * 2
 
 
+def test_license_templates_are_ranked_by_what_they_save(monkeypatch):
+    """Conditional compression of the block with every template comes first; wording is checked in its order, and none is left out."""
+    apache, mit = (next(t for n, t in reversed(licenses.TEMPLATES) if n == name) for name in ("Apache-2.0", "MIT"))
+    for notice, name in ((apache, "Apache-2.0"), (mit.upper(), "MIT"), (textwrap.indent(textwrap.fill(mit, 60), " * "), "MIT")):
+        text, checked, whole = f"some words before\n{notice}\nand after", [], licenses.occurrences
+        monkeypatch.setattr(licenses, "occurrences", lambda template, block: checked.append(template) or whole(template, block))
+        found = licenses.scan_block(text, 0, len(text))
+        monkeypatch.undo()
+        saved = licenses.savings(licenses.words(text))
+        ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
+        assert checked == [licenses.words(licenses.TEMPLATES[i][1]) for i in ranked] and len(saved) == len(licenses.TEMPLATES)
+        assert licenses.TEMPLATES[ranked[0]] == (name, apache if name == "Apache-2.0" else mit)
+        assert [(m.license, m.saved) for m in found] == [(name, saved[ranked[0]])] and saved[ranked[0]] > 100
+
+
 def test_licenses_in_long_lines():
     prose = "permission to use copy modify and distribute this software is granted without warranty to any person obtaining the source of the work under the terms of the license " * 4
     for notice, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "Proprietary"), ("Released under the MIT License.", "MIT")):

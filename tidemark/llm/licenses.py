@@ -1,14 +1,14 @@
 """License scan by conditional compression.
 
 Candidate blocks are runs of lines with a cue word (cue lines up to ``GAP`` lines apart are one block), with
-``REACH`` words on either side, so that a wrapped notice is whole; blocks that then meet are one. A
-block is compressed alone and with each confirmed template as a raw zstandard dictionary, which gives the
-bytes saved. Every template is held against the block by its exact wording: the template's
+``REACH`` words on either side, so that a wrapped notice is whole; blocks that then meet are one. The words of a
+block are compressed alone and with each template's words as a raw zstandard dictionary; the bytes that a template saves
+rank it. In this order every template is held against the block by its exact wording: the template's
 words are aligned with the block's where they agree longest, and missing and inserted words counted. A
 template is confirmed if these are at most ``TOLERANCE`` of its words; of a template under
 ``EXACT_UNDER`` words none may differ, and words that tell licenses apart (numbers, versions and the names in ``TELLING``)
-never may. Every confirmed notice of a block is reported, in order of place; of notices that overlap, the longest
-template's, if the other is of the same license or lies within it.
+never may. No rank is cut off: a short notice in much prose may save nothing. Every confirmed notice of a block is reported, in
+order of place; one that lies within another is not, and of notices of a license that overlap otherwise, that of the greatest saving is.
 
 Cases: a null or empty text has no block and no license; texts are read whole; equal texts
 give equal results; repeated rows get a row each; null ids stay null; further columns are not read; an
@@ -102,7 +102,7 @@ def words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Match:
-    """A license found in a block: the block's place, bytes saved, differing words and what they are."""
+    """A license found in a block: the block's place, bytes that the template saves on its words, differing words and what they are."""
 
     license: str
     start: int
@@ -153,7 +153,15 @@ def widened(lines: list[str], starts: list[int], i: int, step: int, reach: int)
 @lru_cache(2)
 def compressors(templates: tuple[tuple[str, str], ...]):
     alone = zstandard.ZstdCompressor(level=LEVEL)
-    return alone, [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+    return alone, [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+
+
+def savings(block: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[int]:
+    """Bytes that each template saves on a block's words: compressed alone, less compressed with the template."""
+    alone, with_template = compressors(templates)
+    raw = " ".join(block).encode()
+    size = len(alone.compress(raw))
+    return [size - len(c.compress(raw)) for c in with_template]
 
 
 def wording(template: list[str], region: list[str]) -> tuple[int, str, int, int]:
@@ -202,20 +210,19 @@ def occurrences(template: list[str], block: list[str]) -> list[tuple[int, int, i
 
 def scan_block(text: str, start: int, end: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Match]:
     """The licenses of a block whose wording is confirmed, in order of place."""
-    raw, mine, found = text[start:end].encode(), words(text[start:end]), []
-    for i, (name, template) in enumerate(templates):
-        own = words(template)
-        found += [(a, b, len(own), name, i, differing, said) for a, b, differing, said in occurrences(own, mine)]
+    mine = words(text[start:end])
+    saved = savings(mine, templates)
     kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (-f[2], f[5], f[0], f[4])):
-        if not any(f[0] < k[1] and k[0] < f[1] and (f[3] == k[3] or (k[0] <= f[0] and f[1] <= k[1])) for k in kept):
-            kept.append(f)
-    if not kept:
-        return []
-    alone, with_template = compressors(templates)
-    size = len(alone.compress(raw))
-    saved = {i: size - len(with_template[i].compress(raw)) for i in {k[4] for k in kept}}
-    return [Match(name, start, end, saved[i], len(raw), differing, said) for _, _, _, name, i, differing, said in sorted(kept)]
+    for i in sorted(range(len(templates)), key=lambda i: (-saved[i], i)):
+        name = templates[i][0]
+        for a, b, differing, said in sorted(occurrences(words(templates[i][1]), mine)):
+            met = [k for k in kept if a < k[1] and k[0] < b]
+            within = [k for k in met if a <= k[0] and k[1] <= b and (k[0], k[1]) != (a, b)]
+            if not any(k not in within and (k[2] == name or (k[0] <= a and b <= k[1])) for k in met):
+                kept = [k for k in kept if k not in within]
+                kept.append((a, b, name, i, differing, said))
+    size = len(text[start:end].encode())
+    return [Match(name, start, end, saved[i], size, differing, said) for _, _, name, i, differing, said in sorted(kept)]
 
 
 def scan_text(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[int, list[Match]]:
