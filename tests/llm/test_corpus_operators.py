@@ -46,6 +46,19 @@ def test_word_ids_are_text_ids():
             assert ids[begins[i] : begins[i + 1]].tolist() == expected_ids(t), t
 
 
+def test_word_ids_look_at_unknown_ascii_words_only_as_bytes(monkeypatch):
+    """Capitals and marks of ASCII words part without a regular expression or a decoded word; ids are those of whole texts."""
+    tokenizer = packing.tokenizer(packing.vocabulary_path())
+    texts = ["Zebra zebra, ZEBRA!? (a) b\u00e9b\u00e9. \u00c9t\u00e9 x.y. ... 12% end-", None, "zebra zebra, new Zebra,", "end- ... B\u00e9b\u00e9."]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen, plain = [], packing._PLAIN
+    monkeypatch.setattr(packing, "_PLAIN", type("Seen", (), {"fullmatch": staticmethod(lambda w: seen.append(w) or plain.fullmatch(w))}))
+    for keep in (0, 3, 1000):
+        assert packing.WordIds(packing.vocabulary_path(), keep=keep).encode(texts) == want
+    assert "x.y." in seen and not {"Zebra", "zebra,", "ZEBRA!?", "end-"} & set(seen)
+    assert packing.places([None, b"a", None, None, b"b"]) == [0, 2, 3] and packing.places([b"a"]) == []
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_pack_is_whole_and_tight(seed):
     rng = np.random.default_rng(seed)

@@ -55,6 +55,8 @@ def tokenizer(path: str):
 
 #: A word of plain letters and a run of marks after it: the vocabulary's pre-tokeniser makes just these two parts of it.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?()|%$#&*\"/-]*)")
+#: Those marks.
+_MARKS = b".,;:!?()|%$#&*\"/-"
 
 
 class WordIds:
@@ -88,18 +90,29 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of these words that aren't known; they become known while there is room."""
-        known, parts, plain, new = self.known, {}, set(), {}
+        known, bare, plain, new = self.known, {}, set(), {}
         for word in words:
-            if word.isalpha() and word.islower():  # plain ASCII letters
-                plain.add(word)
-            elif m := _PLAIN.fullmatch(word.decode()):
-                parts[word] = two = m[1].lower().encode(), m[2].encode()
-                plain.update(x for x in two if x and x not in known)
+            letters = word.rstrip(_MARKS)
+            if not letters.isalpha():  # not ASCII letters alone: rare
+                if not (m := _PLAIN.fullmatch(word.decode())):
+                    new[word] = self._each(word.decode())
+                    continue
+                low, marks = m[1].lower().encode(), m[2].encode()
             else:
-                new[word] = self._each(word.decode())
+                low, marks = letters.lower(), word[len(letters) :]
+            if low not in known:
+                plain.add(low)
+            if marks:
+                bare[word] = low
+                if marks not in known:
+                    plain.add(marks)
+            elif low != word:
+                bare[word] = low
         made = self._together(list(plain))
-        for word, two in parts.items():
-            new[word] = b"".join(made[x] if x in made else known[x] for x in two if x)
+        for word, low in bare.items():
+            marks = word[len(low) :]
+            ids = made[low] if low in made else known[low]
+            new[word] = ids + (made[marks] if marks in made else known[marks]) if marks else ids
         for word in words - new.keys():
             new[word] = made[word]
         if len(known) < self.keep:
@@ -112,14 +125,23 @@ class WordIds:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [utf8(t).split() for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
+        gaps = [(words, ids, at) for words, ids in zip(split, found, strict=True) if (at := places(ids))]
         if gaps:
-            new = self.learn({w for i in gaps for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-            for i in gaps:
-                found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+            new = self.learn({words[i] for words, _, at in gaps for i in at})
+            for words, ids, at in gaps:
+                for i in at:
+                    ids[i] = new[words[i]]
         return [b"".join(ids) for ids in found]
 
 
+def places(ids: list[bytes | None]) -> list[int]:
+    """Where the nulls stand."""
+    at = []
+    for _ in range(ids.count(None)):
+        at.append(ids.index(None, at[-1] + 1 if at else 0))
+    return at
+
+
 def word_ids(path: str) -> WordIds:
     """One per worker process and stage, so that later tasks find the words of earlier ones, and other stages have the memory."""
     return kept(f"words of {path}", lambda: WordIds(path))
