@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import messy_rows, save
-from tidemark.llm import gru_lm, mixing, packing, queries, simhash, topk
+from tidemark.llm import common, gru_lm, mixing, packing, queries, simhash, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -540,6 +540,24 @@ def test_only_texts_of_the_similarity_go(spark, monkeypatch):
         assert {r.component_id for r in simhash.labelled(nodes, links).collect()} == set(least.values())
 
 
+def test_few_links_are_written_in_few_files(spark):
+    """Components of a chain and a star of links stand in few files, whatever the number of partitions."""
+    keys = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, before = {k: spark.conf.get(k, None) for k in keys}, set(common.made(spark))
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 300)]
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {r["u"]: r["v"] for r in simhash.stars(spark.createDataFrame(links, "u long, v long")).collect()}
+        tables = [f for f in common.made(spark) if f not in before]
+        files = [len(spark.read.parquet(f).inputFiles()) for f in tables]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 300)}
+    assert len(files) > 3 and max(files[1:]) <= common.WRITERS, files
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(6)
     for n in (1, 5, 50, 400):

@@ -46,9 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder, read again: cuts the lineage, and survives lost executors."""
+#: Tasks that write a table of known size, at least, and rows of each above that.
+WRITERS, WRITER_ROWS = 16, 100_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again: cuts the lineage, and survives lost executors.
+
+    Of at most so many ``rows`` few files are made however many partitions there are: without its native library, Hadoop starts a
+    process for each file on a local disk.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(WRITERS, -(-rows // WRITER_ROWS)))
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)

@@ -378,11 +378,11 @@ def stars(links: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("crowd")))
-        large = written(joined(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("crowd")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("crowd")), 2 * before[0])
+        large = written(joined(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), 2 * before[0])
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("crowd")), 2 * before[0])
         small = joined(large, least, "u", 2 * before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), 4 * before[0])
         after = state(edges)
         if after == before:
             break
@@ -397,10 +397,11 @@ def distinct_prints(rows: DataFrame) -> DataFrame:
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """fp, component_id (the smallest id reachable over links u-v) and crowd (rows) of each of the written distinct fingerprints."""
+    many = nodes.count()
     rooted = nodes.join(stars(links).withColumnRenamed("u", "fp"), "fp", "left")
-    rooted = written(rooted.select("fp", "least", F.coalesce("v", "fp").alias("root"), F.col("crowd").alias("rows")))
-    first = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("crowd")))
-    return written(joined(rooted, first, "root", rooted.count()).select("fp", "component_id", F.col("rows").alias("crowd")))
+    rooted = written(rooted.select("fp", "least", F.coalesce("v", "fp").alias("root"), F.col("crowd").alias("rows")), many)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("crowd")), many)
+    return written(joined(rooted, first, "root", many).select("fp", "component_id", F.col("rows").alias("crowd")), many)
 
 
 def components(rows: DataFrame, radius: int = RADIUS, block: int | None = None) -> DataFrame:
