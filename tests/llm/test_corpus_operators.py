@@ -374,6 +374,22 @@ def test_language_model_query(spark, messy):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_base_needs_no_network_and_is_the_query_s_own(spark, messy, monkeypatch):
+    """Counts and base scores train nothing and run nothing, and are those of op8; few counts are broadcast here, the others joined."""
+    monkeypatch.setattr(gru_lm, "HEAD", 20)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known)
+    whole = sorted(queries.op8_gru_lm(spark, messy).collect(), key=key)
+
+    def never(*_, **__):
+        raise AssertionError("a network was trained")
+
+    for step in ("train", "averaged", "Network"):
+        monkeypatch.setattr(gru_lm, step, never)
+    got = sorted(queries.queries()["unigram_base"](spark, messy).collect(), key=key)
+    assert [tuple(r)[:5] for r in got] == [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in whole]
+    assert [r.base_score for r in got] == pytest.approx([r.base_score for r in whole], abs=1e-4)
+
+
 def test_language_model_beats_unigrams_on_held_out_documents(spark):
     got = queries.op8_gru_lm(spark, "/root/testdata/sf0.01").where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > 0.95 * got[1]

@@ -1,7 +1,7 @@
 """What SQL can express of operators that it can't express whole: queries over the operators' own results, with their SQL.
 
 ``mixing_targets``: sizes and targets of op7; ``secret_counts``: the pattern counts of op9; ``unigram_base``: the counts and base
-scores of op8.
+scores of op8, by its own steps but without its network, which they don't need.
 """
 
 from __future__ import annotations
@@ -69,5 +69,5 @@ BASE_SQL = f"""
 BASES: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str]] = {
     "mixing_targets": ("op7_mixing", mixing_targets, MIXING_SQL),
     "secret_counts": ("op9_secret_scan", secret_counts, SECRETS_SQL),
-    "unigram_base": ("op8_gru_lm", unigram_base, BASE_SQL),
+    "unigram_base": ("op8_base", unigram_base, BASE_SQL),
 }

@@ -47,6 +47,12 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+def find_places(places: dict[bytes, int], toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens (-1: unknown), and which are unknown."""
+    at = np.fromiter(map(places.get, toks, repeat(-1)), np.int32, len(toks))
+    return at, np.flatnonzero(at < 0)
+
+
 @dataclass
 class Layout:
     """The network's words by falling count, their classes (start of each; the words of one stand together) and tail masses.
@@ -80,8 +86,8 @@ class Layout:
 
     def find(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of tokens (-1: unknown), which are unknown, and the network's ids: own words by place, others as ``len(words)`` and their class."""
-        at = np.fromiter(map(self.places.get, toks, repeat(-1)), np.int32, len(toks))
-        ids, rest = self._net[at], np.flatnonzero(at < 0)
+        at, rest = find_places(self.places, toks)
+        ids = self._net[at]
         if len(rest):
             ids[rest] = [len(self.words) + tail_class(toks[i]) for i in rest.tolist()]
         return at, rest, ids
@@ -370,32 +376,51 @@ PIECE, LOT = 1 << 13, 256
 
 
 @dataclass
-class Model:
-    """Counts over the training tokens, written (word, n), their sum and number; the layout, the network and the tokens that it was refined on."""
+class Counts:
+    """Counts over the training tokens, written (word, n), their sum and number; the ``HEAD`` most frequent words by falling count, and their counts."""
 
-    counts: DataFrame
+    table: DataFrame
     total: int
     distinct: int
+    words: list[bytes]
+    head: np.ndarray
+
+
+@dataclass
+class Model:
+    """Counts over the training tokens; the layout, the network and the tokens that it was refined on."""
+
+    counts: Counts
     layout: Layout
     net: Network
     learned: int
 
+    @property
+    def total(self) -> int:
+        return self.counts.total
+
+
+def count(docs: DataFrame, held: Column, text_col: str = "text") -> Counts:
+    """The counts over the rows for which ``held`` is false."""
+    table = written(token_counts(docs.where(~held).select(F.col(text_col).cast("string").alias("text"))))
+    total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    head = frequent(table, HEAD)
+    words = sorted(head, key=lambda w: (-head[w], w))
+    return Counts(table, int(total), int(distinct), words, np.array([head[w] for w in words], np.int64))
+
 
 def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", warm_rows: int = WARM_ROWS) -> Model:
     """Learn from the rows for which ``held`` is false."""
     spark = docs.sparkSession
     known = docs.where(~held).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(token_counts(known.select("text")))
+    counts = count(docs, held, text_col)
     kind = F.crc32(F.substring("word", -2, 2)) % TAIL
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = frequent(counts, HEAD)
-    words = sorted(head, key=lambda w: (-head[w], w))
     mass = np.ones(TAIL)
-    for r in counts.groupBy(kind.alias("kind")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+    for r in counts.table.groupBy(kind.alias("kind")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         mass[r["kind"]] += r["n"]
-    for w in words[:VOCAB]:
-        mass[tail_class(w)] -= head[w] + 1
-    layout = Layout.make(words, np.array([head[w] for w in words], np.int64), mass)
+    for w, n in zip(counts.words[:VOCAB], counts.head[:VOCAB].tolist(), strict=True):
+        mass[tail_class(w)] -= n + 1
+    layout = Layout.make(counts.words, counts.head, mass)
     net = Network(layout)
     drawn = F.pmod(F.xxhash64(F.lit("gru"), "id"), F.lit(1_000_000))
     n_rows = known.count()
@@ -426,50 +451,66 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
 
     flat, learned = averaged(known.select("text").mapInArrow(refine, "piece int, lot int, weight double, values array<float>"), start)
     net.load(flat)
-    return Model(counts, int(total), int(distinct), layout, net, learned)
+    return Model(counts, layout, net, learned)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, base_score and score of every row, whole texts.
+    """id, n_tokens, n_known, base_score and score of every row, whole texts."""
+    return _scored(docs, model.counts, (model.layout, model.net), id_col, text_col)
+
+
+def base(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``score`` that come from counts alone, by the same steps: id, n_tokens, n_known and base_score."""
+    return _scored(docs, counts, None, id_col, text_col).drop("score")
+
+
+def _scored(docs: DataFrame, counts: Counts, model: tuple[Layout, Network] | None, id_col: str, text_col: str) -> DataFrame:
+    """id, n_tokens, n_known, base_score and score, which is null without a network.
 
     Counts of the ``HEAD`` most frequent tokens are broadcast; those of the others are joined.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.layout, model.net))
+    shared = docs.sparkSession.sparkContext.broadcast(model or ({w: i for i, w in enumerate(counts.words)}, np.log10(counts.head + 1.0)))
+    has_net = model is not None
 
     def run(batches):
-        layout, net = shared.value
-        n_own, task, row = len(layout.words), TaskContext.get().partitionId(), 0
-        log_mass = np.log10(layout.tail_mass)
+        if has_net:
+            layout, net = shared.value
+            places, all_logs, n_own, log_mass = layout.places, layout.logs, len(layout.words), np.log10(layout.tail_mass)
+        else:
+            places, all_logs = shared.value
+        task, row = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 10_000, BYTES):
                 ids, n_tokens, seen, base, tail_part, rest_words, rest_counts = [], [], [], [], [], [], []
                 for text in batch.column(1):
                     toks = tokens(text.as_py())
-                    at, unknown, net_ids = layout.find(toks)
-                    ids.append(net_ids)
+                    at, unknown, *net_ids = layout.find(toks) if has_net else find_places(places, toks)
                     n_tokens.append(len(toks))
                     rest = Counter([toks[i] for i in unknown.tolist()])
                     known = at[at >= 0]
-                    logs, tail = layout.logs[known], net_ids[net_ids >= n_own] - n_own
+                    logs = all_logs[known]
                     seen.append(len(known))
                     base.append(logs.sum())
-                    tail_part.append(logs[known >= n_own].sum() - log_mass[tail].sum())
                     rest_words.append(list(rest))
                     rest_counts.append(list(rest.values()))
-                own = log_likelihoods(net, layout, ids) / np.log(10) + np.array(tail_part)
+                    if has_net:
+                        ids += net_ids
+                        tail = ids[-1][ids[-1] >= n_own] - n_own
+                        tail_part.append(logs[known >= n_own].sum() - log_mass[tail].sum())
+                own = pa.array(log_likelihoods(net, layout, ids) / np.log(10) + np.array(tail_part)) if has_net else pa.nulls(len(seen), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(ids), task), pa.int32()), pa.array(np.arange(row, row + len(ids))), pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(own), pa.array(rest_words, pa.list_(pa.binary())), pa.array(rest_counts, pa.list_(pa.int64()))],
+                    [batch.column(0), pa.array(np.full(len(seen), task), pa.int32()), pa.array(np.arange(row, row + len(seen))), pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), own, pa.array(rest_words, pa.list_(pa.binary())), pa.array(rest_counts, pa.list_(pa.int64()))],
                     ["id", "part", "row", "n_tokens", "seen", "base", "own", "words", "times"],
                 )
-                row += len(ids)
+                row += len(seen)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = written(picked.mapInArrow(run, "id long, part int, row long, n_tokens long, seen long, base double, own double, words array<binary>, times array<long>"))
     rest = first.select("part", "row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("part", "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    more = rest.join(model.counts, "word").groupBy("part", "row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    more = rest.join(counts.table, "word").groupBy("part", "row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return first.join(more, ["part", "row"], "left").select(
         "id", "n_tokens", (F.col("seen") + zero("more")).alias("n_known"),
-        (F.col("base") + zero("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.total + model.distinct + 1)))).alias("base_score"),
+        (F.col("base") + zero("logs") - F.col("n_tokens") * F.lit(float(np.log10(counts.total + counts.distinct + 1)))).alias("base_score"),
         (F.col("own") + zero("logs")).alias("score"),
     )
