@@ -390,6 +390,20 @@ def test_base_needs_no_network_and_is_the_query_s_own(spark, messy, monkeypatch)
     assert [r.base_score for r in got] == pytest.approx([r.base_score for r in whole], abs=1e-4)
 
 
+def test_texts_are_split_together_as_each_by_itself(spark):
+    texts = [t for _, t, *_ in messy_rows()] + [" a A\x0bb\x1cc ", "\n", "\t \r", "É é\x85é b\x0c", "zz zz zz new new"]
+    each = [gru_lm.tokens(t) for t in texts]
+    for known in ([b"the", b"zz", b"a"], [gru_lm.END, b"b", b"the"], []):
+        row, at, rest = gru_lm.place(pa.array(texts, pa.string()), pa.array(known, pa.binary()))
+        places = {w: i for i, w in enumerate(known)}
+        assert row.tolist() == [i for i, toks in enumerate(each) for _ in toks]
+        assert at.tolist() == [places.get(w, -1) for toks in each for w in toks]
+        assert rest.to_pylist() == [w for toks in each for w in toks if w not in places]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for keep in (1, 1000, 24 << 20):
+        assert {r.word: r.n for r in gru_lm.token_counts(docs, keep).collect()} == Counter(w for toks in each for w in toks)
+
+
 def test_language_model_beats_unigrams_on_held_out_documents(spark):
     got = queries.op8_gru_lm(spark, "/root/testdata/sf0.01").where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > 0.95 * got[1]

@@ -20,22 +20,24 @@ untrained; further columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import release, slices, utf8, written
 
 HIDDEN, VOCAB, HEAD, CLASSES, TAIL = 16, 4000, 200_000, 32, 32
 WINDOW, STREAMS, CHUNK, RATE, WARM_ROWS, SEED = 32, 512, 500_000, 1e-2, 800, 8
 #: Bytes of text that are scored together; a longer text is alone.
 BYTES = 48 << 20
+#: Bytes of text that are split into words together.
+PART = 4 << 20
 END = b"\n"  # no word holds white space
 
 
@@ -47,10 +49,21 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
-def find_places(places: dict[bytes, int], toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of tokens (-1: unknown), and which are unknown."""
-    at = np.fromiter(map(places.get, toks, repeat(-1)), np.int32, len(toks))
-    return at, np.flatnonzero(at < 0)
+def split(texts: pa.Array) -> pa.ListArray:
+    """The words of texts as ``tokens`` has them, without the end; white space at either end of a text leaves an empty word there."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+
+
+def place(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Of the tokens of all texts in order: each one's text, its place in ``known`` (-1: unknown), and the unknown ones as words."""
+    parts, ends = split(texts), np.arange(len(texts))
+    words = pa.concat_arrays([parts.flatten().cast(pa.binary()), pa.array([END] * len(ends), pa.binary())])
+    row = np.concatenate([np.repeat(ends, parts.value_lengths().to_numpy()), ends])
+    at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+    order = np.argsort(row, kind="stable")
+    order = order[pc.binary_length(words).to_numpy()[order] > 0]
+    row, at = row[order], at[order]
+    return row, at, words.take(pa.array(order[at < 0])).dictionary_encode()
 
 
 @dataclass
@@ -86,8 +99,8 @@ class Layout:
 
     def find(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of tokens (-1: unknown), which are unknown, and the network's ids: own words by place, others as ``len(words)`` and their class."""
-        at, rest = find_places(self.places, toks)
-        ids = self._net[at]
+        at = np.fromiter(map(self.places.get, toks, repeat(-1)), np.int32, len(toks))
+        ids, rest = self._net[at], np.flatnonzero(at < 0)
         if len(rest):
             ids[rest] = [len(self.words) + tail_class(toks[i]) for i in rest.tolist()]
         return at, rest, ids
@@ -95,6 +108,10 @@ class Layout:
     def encode(self, toks: list[bytes]) -> np.ndarray:
         return self.find(toks)[2]
 
+    def by_place(self, at: np.ndarray) -> np.ndarray:
+        """The network's ids of known places; unknown ones get any."""
+        return self._net[at]
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return self._classes[ids]
 
@@ -311,22 +328,27 @@ def window_scores(net: Network, layout: Layout, states: np.ndarray, ids: np.ndar
     return got
 
 
-def token_counts(texts: DataFrame, keep: int = 400_000) -> DataFrame:
-    """word (binary), n over all texts (one column): counted in each task before the shuffle, with bounded memory."""
+def token_counts(texts: DataFrame, keep: int = 24 << 20) -> DataFrame:
+    """word (binary), n over all texts (one column): counted in each task before the shuffle, of so many bytes of words at a time."""
 
     def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > keep:
-                    yield flush(seen)
-        yield flush(seen)
-
-    def flush(seen: Counter) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return made
+        release()
+        held, size, ends = [], 0, 0
+        for whole in batches:
+            for batch in slices(whole, 10_000, PART):
+                held.append(split(batch.column(0)).flatten())
+                size, ends = size + batch.nbytes, ends + batch.num_rows
+                if size > keep:
+                    yield from flush(held, ends)
+                    held, size, ends = [], 0, 0
+        yield from flush(held, ends)
+
+    def flush(held: list[pa.Array], ends: int):
+        if held:
+            found = pc.value_counts(pa.chunked_array(held))
+            word, n = found.field("values").cast(pa.binary()), found.field("counts")
+            full = pc.greater(pc.binary_length(word), 0)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([word.filter(full), pa.array([END], pa.binary())]), pa.concat_arrays([n.filter(full), pa.array([ends], pa.int64())])], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -469,40 +491,46 @@ def _scored(docs: DataFrame, counts: Counts, model: tuple[Layout, Network] | Non
 
     Counts of the ``HEAD`` most frequent tokens are broadcast; those of the others are joined.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or ({w: i for i, w in enumerate(counts.words)}, np.log10(counts.head + 1.0)))
-    has_net = model is not None
+    shared = docs.sparkSession.sparkContext.broadcast((counts.words, np.log10(counts.head + 1.0), model))
 
     def run(batches):
-        if has_net:
-            layout, net = shared.value
-            places, all_logs, n_own, log_mass = layout.places, layout.logs, len(layout.words), np.log10(layout.tail_mass)
-        else:
-            places, all_logs = shared.value
-        task, row = TaskContext.get().partitionId(), 0
+        release()
+        words, logs, model = shared.value
+        known, task, row = pa.array(words, pa.binary()), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 10_000, BYTES):
-                ids, n_tokens, seen, base, tail_part, rest_words, rest_counts = [], [], [], [], [], [], []
-                for text in batch.column(1):
-                    toks = tokens(text.as_py())
-                    at, unknown, *net_ids = layout.find(toks) if has_net else find_places(places, toks)
-                    n_tokens.append(len(toks))
-                    rest = Counter([toks[i] for i in unknown.tolist()])
-                    known = at[at >= 0]
-                    logs = all_logs[known]
-                    seen.append(len(known))
-                    base.append(logs.sum())
-                    rest_words.append(list(rest))
-                    rest_counts.append(list(rest.values()))
-                    if has_net:
-                        ids += net_ids
-                        tail = ids[-1][ids[-1] >= n_own] - n_own
-                        tail_part.append(logs[known >= n_own].sum() - log_mass[tail].sum())
-                own = pa.array(log_likelihoods(net, layout, ids) / np.log(10) + np.array(tail_part)) if has_net else pa.nulls(len(seen), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(seen), task), pa.int32()), pa.array(np.arange(row, row + len(seen))), pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), own, pa.array(rest_words, pa.list_(pa.binary())), pa.array(rest_counts, pa.list_(pa.int64()))],
-                    ["id", "part", "row", "n_tokens", "seen", "base", "own", "words", "times"],
-                )
-                row += len(seen)
+                ids, made = [], []
+                for part in slices(batch, 10_000, PART):
+                    made.append(counted(part.column(1), known, logs, model and model[0], ids))
+                columns = [pa.concat_arrays(c) for c in zip(*made, strict=True)]
+                if model:
+                    columns[3] = pa.array(log_likelihoods(model[1], model[0], ids) / np.log(10) + columns[3].to_numpy())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, task), pa.int32()), pa.array(np.arange(row, row + n)), *columns], ["id", "part", "row", "n_tokens", "seen", "base", "own", "words", "times"])
+                row += n
+
+    def counted(texts: pa.Array, known: pa.Array, logs: np.ndarray, layout: Layout | None, ids: list[np.ndarray]) -> list[pa.Array]:
+        """Of each text: tokens, those broadcast and their logs' sum, the logs of its tail words in their classes, and the other words with their numbers."""
+        n = len(texts)
+        row, at, rest = place(texts, known)
+        here, other = at >= 0, row[at < 0]
+        n_tokens, found = np.bincount(row, minlength=n), logs[at[here]]
+        distinct, code = rest.dictionary, rest.indices.to_numpy()
+        pair, times = np.unique(other * max(1, len(distinct)) + code, return_counts=True)
+        text, code_of = np.divmod(pair, max(1, len(distinct)))
+        offsets = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+        tail = pa.nulls(n, pa.float64())
+        if layout:
+            n_own, classes = len(layout.words), np.array([tail_class(w) for w in distinct.to_pylist()] or [0])
+            net_ids = layout.by_place(at)
+            net_ids[at < 0] = n_own + classes[code]
+            ids += np.split(net_ids, np.cumsum(n_tokens)[:-1])
+            known_tail, in_tail = at >= n_own, net_ids >= n_own
+            tail = pa.array(np.bincount(row[known_tail], logs[at[known_tail]], n) - np.bincount(row[in_tail], np.log10(layout.tail_mass)[net_ids[in_tail] - n_own], n))
+        return [
+            pa.array(n_tokens), pa.array(np.bincount(row[here], minlength=n)), pa.array(np.bincount(row[here], found, n)), tail,
+            pa.ListArray.from_arrays(offsets, distinct.take(pa.array(code_of))), pa.ListArray.from_arrays(offsets, pa.array(times)),
+        ]
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = written(picked.mapInArrow(run, "id long, part int, row long, n_tokens long, seen long, base double, own double, words array<binary>, times array<long>"))
